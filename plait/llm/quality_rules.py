@@ -47,7 +47,7 @@ RULES = (
     Rule("exclamations", "n_exclaim", "n_words", high=300),
     Rule("capitals", "n_upper", "word_chars", high=400),
     Rule("no_stop_words", "n_stop_words", "n_words", low=20),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", high=300),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", high=800),
     Rule("ellipsis_lines", "n_ellipsis", "n_lines", high=300),
     Rule("bullet_lines", "n_bullets", "n_lines", high=900),
 )
