@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from plait.llm import quality_rules
+from plait.llm import quality_rules, secret_scan, url_filter
 
 
 def queries() -> dict:
     return {
+        "op5_secret_scan": secret_scan.query,
+        "op7_url_filter": url_filter.query,
         "op9_quality_rules": quality_rules.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_secret_scan": secret_scan.ORACLE,
         "op9_quality_rules": quality_rules.ORACLE,
     }
