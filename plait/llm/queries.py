@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from plait.llm import quality_rules, secret_scan, url_filter
+from plait.llm import html_extract, quality_rules, secret_scan, url_filter
 
 
 def queries() -> dict:
     return {
+        "op3_html_extract": html_extract.query,
         "op5_secret_scan": secret_scan.query,
         "op7_url_filter": url_filter.query,
         "op9_quality_rules": quality_rules.query,
