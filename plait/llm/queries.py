@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from plait.llm import html_extract, quality_rules, secret_scan, url_filter
+from plait.llm import html_extract, jaccard_join, quality_rules, secret_scan, url_filter
 
 
 def queries() -> dict:
     return {
+        "op2_jaccard_join": jaccard_join.query,
         "op3_html_extract": html_extract.query,
         "op5_secret_scan": secret_scan.query,
         "op7_url_filter": url_filter.query,

@@ -103,10 +103,10 @@ def grams(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     out = total[starts]
     for d in np.flatnonzero((n > 0) & (n < k)):
         a, b = first[d], first[d + 1]
-        v = U(0x5851F42D4C957F2D) * U(b - a)
+        v = np.array([b - a], U) * U(0x5851F42D4C957F2D)
         for x in h[a:b]:
-            v = mix(np.array([v ^ x]))[0] * U(0x2545F4914F6CDD1D)
-        out[at[d]] = v
+            v = mix(v ^ x) * U(0x2545F4914F6CDD1D)
+        out[at[d]] = v[0]
     return out, at
 
 
