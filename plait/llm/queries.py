@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plait.llm import decontaminate, html_extract, jaccard_join, quality_rules, secret_scan, url_filter
+from plait.llm import decontaminate, html_extract, jaccard_join, line_dedup, quality_rules, secret_scan, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_secret_scan": secret_scan.query,
         "op6_decontaminate": decontaminate.query,
         "op7_url_filter": url_filter.query,
+        "op8_line_dedup": line_dedup.query,
         "op9_quality_rules": quality_rules.query,
     }
 
