@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from plait.llm import decontaminate, html_extract, jaccard_join, language_id, line_dedup, quality_model, quality_rules, secret_scan, url_filter
+from plait.llm import decontaminate, html_extract, jaccard_join, language_id, line_dedup, piece_sampler, quality_model, quality_rules, secret_scan, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_piece_sampler": piece_sampler.query,
         "op2_jaccard_join": jaccard_join.query,
         "op3_html_extract": html_extract.query,
         "op4_language_id": language_id.query,
