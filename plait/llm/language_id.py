@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -248,6 +249,20 @@ def identify(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, ", ".join([*fields, "lang_pred string, score double"]))
 
 
+def language_of(model: Crf, spark: SparkSession):
+    """A function of a text column: struct(lang_pred, score). Other columns stay in the JVM."""
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def of(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in it:
+            raw = [x.encode() if isinstance(x, str) else None for x in texts]
+            parts = [sent.value.predict(raw[part]) for part in batches(raw, 1 << 20)]
+            yield pd.DataFrame({"lang_pred": [x for p in parts for x in p[0]], "score": [x for p in parts for x in p[1].tolist()]})
+
+    return of
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of op4: one per document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
