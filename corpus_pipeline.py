@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plait.llm import decontaminate, jaccard_join, language_id, line_dedup, piece_sampler
-from plait.llm.common import fold, materialize, table
+from plait.llm.common import fold, fresh, materialize, table
 
 #: A document goes if less than this share of its letters is in its best language.
 LEAST_LANGUAGE = 0.4
@@ -22,9 +22,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Operator 4. Documents without a language (null text, no letter) or of no
     clear one go; a null lang is filled with the one found."""
     model = language_id.train(docs.filter(fold(F.col("doc_id"), 3) != 1))
-    got = docs.withColumn("__l", language_id.language_of(model, spark)("text"))
-    kept = got.filter((F.col("__l.lang_pred") != "und") & (F.col("__l.score") >= LEAST_LANGUAGE))
-    return kept.withColumn("lang", F.coalesce("lang", "__l.lang_pred")).select(*docs.columns)
+    name = fresh(docs, "__l")
+    got = docs.withColumn(name, language_id.language_of(model, spark)("text"))
+    kept = got.filter((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= LEAST_LANGUAGE))
+    return kept.withColumn("lang", F.coalesce("lang", f"{name}.lang_pred")).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,8 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = jaccard_join.jaccard_join(named)
     kept = materialize(groups.filter("doc_id = component_id").select("doc_id").distinct(), "kept")
     once = Window.partitionBy("doc_id").orderBy("doc_id")
-    first = named.join(kept, "doc_id", "left_semi").withColumn("__r", F.row_number().over(once)).filter("__r = 1")
+    row = fresh(docs, "__r")
+    first = named.join(kept, "doc_id", "left_semi").withColumn(row, F.row_number().over(once)).filter(F.col(row) == 1)
     return first.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 

@@ -54,5 +54,21 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Whole texts go to Python in batches of at most `rows`, where the session
+    has Spark's default of 10,000: a batch is held several times over, and two
+    workers share an executor's memory outside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, rows)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plait.llm.common import materialize, table
+from plait.llm.common import materialize, small_batches, table
 from plait.llm.url_filter import split_url
 
 TOKEN = re.compile(
@@ -219,12 +219,14 @@ def site_templates(parsed: DataFrame, share: float, main_share: float, least: in
 
 
 def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", share: float = 0.3, main_share: float = 0.9, least: int = 8) -> DataFrame:
-    """df's columns but the html, then text: its blocks joined by an empty line.
+    """df's columns but the html (and any text), then text: its blocks joined by an empty line.
     A block within the page's article or main element goes only with a subtree
     on main_share of the host's pages."""
-    keep = [c for c in df.columns if c != html_col]
-    host = split_url(F.col(url_col))[0]
-    parsed = materialize(parse_pages(df).withColumn("host", F.coalesce(host, F.lit(""))), "pages")
+    host = F.coalesce(split_url(F.col(url_col))[0], F.lit(""))
+    keep = [c for c in df.columns if c not in (html_col, "text")]
+    rows = df.select(F.struct(*keep).alias("row"), host.alias("host"), F.col(html_col).alias("html"))
+    small_batches(df.sparkSession)
+    parsed = materialize(parse_pages(rows), "pages")
     rules = materialize(site_templates(parsed, share, main_share, least), "templates")
     none = F.expr("cast(array() as array<bigint>)")
     joined = parsed.join(rules, "host", "left")
@@ -233,7 +235,7 @@ def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", share:
     kept = F.when(has_main, F.filter("blocks", lambda b: b["m"] & ~F.arrays_overlap(b["a"], strict))).otherwise(
         F.filter("blocks", lambda b: (b["l"] <= 0.5) & ~F.arrays_overlap(b["a"], loose))
     )
-    return joined.select(*keep, F.array_join(F.transform(kept, lambda b: b["t"]), "\n\n").alias("text"))
+    return joined.select("row.*", F.array_join(F.transform(kept, lambda b: b["t"]), "\n\n").alias("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

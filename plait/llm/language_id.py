@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plait.llm.common import fold, table
+from plait.llm.common import fold, small_batches, table
 from plait.llm.textvec import U, Words, batches
 
 BITS = 16
@@ -182,6 +182,8 @@ def learn(texts: list[bytes], langs: list[str], epochs: int = 3, batch: int = 64
     """Conditional likelihood by AdaGrad on minibatches; every word of a text has its language."""
     languages = sorted(set(langs))
     k, size = len(languages), 4 << BITS
+    if not k:
+        return Crf([], np.zeros((size, 0)), np.zeros(0), np.zeros((0, 0)))
     weight, seen = np.zeros((size, k)), np.full((size, k), 1e-8)
     first, trans = np.zeros(k), np.eye(k) * 2.0
     g_first, g_trans = np.full(k, 1e-8), np.full((k, k), 1e-8)
@@ -220,7 +222,7 @@ def train(docs: DataFrame, per_language: int = 400, most_words: int = 1_000, **h
     language at most, most_words words of each."""
     known = docs.filter("doc_id is not null and lang is not null and text is not null")
     # a share of each language by hash, a third more than asked for; then the least hashes
-    parts, share = 1 << 20, F.lit(0)
+    parts, share = 1 << 19, F.lit(0)
     for r in known.groupBy("lang").count().collect():
         share = F.when(F.col("lang") == r["lang"], min(parts, -(-parts * (per_language * 4 // 3 + 20) // r["count"]))).otherwise(share)
     rows = known.withColumn("h", F.xxhash64("doc_id")).filter(F.pmod(F.col("h"), F.lit(parts)) < share)
@@ -233,13 +235,14 @@ def train(docs: DataFrame, per_language: int = 400, most_words: int = 1_000, **h
 def identify(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
     """docs without the text, with lang_pred and score."""
     keep = [c for c in docs.columns if c != text_col]
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
             texts = b.column(text_col).cast(pa.binary()).to_pylist()
             langs, scores = [], []
-            for part in batches(texts, 1 << 20):
+            for part in batches(texts, 1 << 19):
                 x, s = sent.value.predict(texts[part])
                 langs += x
                 scores += s.tolist()
@@ -251,13 +254,14 @@ def identify(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
 
 def language_of(model: Crf, spark: SparkSession):
     """A function of a text column: struct(lang_pred, score). Other columns stay in the JVM."""
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def of(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in it:
             raw = [x.encode() if isinstance(x, str) else None for x in texts]
-            parts = [sent.value.predict(raw[part]) for part in batches(raw, 1 << 20)]
+            parts = [sent.value.predict(raw[part]) for part in batches(raw, 1 << 19)]
             yield pd.DataFrame({"lang_pred": [x for p in parts for x in p[0]], "score": [x for p in parts for x in p[1].tolist()]})
 
     return of
