@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plait.llm.common import table
+from plait.llm.common import small_batches, table
 from plait.llm.textvec import U, Words, batches, grams
 
 _BLOCK = 16
@@ -185,6 +185,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.8, k: int = 5
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("row_hash"))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     spark, out = docs.sparkSession, None
+    small_batches(spark)
     for some in _shards(items, shard):
         index = spark.sparkContext.broadcast(Index(some, k=k, share=share))
 
@@ -220,6 +221,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", share:
     """docs without the rows whose text holds an item. No join: each index shard is a filter."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
+    small_batches(spark)
     for some in _shards(items, shard):
         index = spark.sparkContext.broadcast(Index(some, k=k, share=share))
 

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plait.llm.common import materialize, shuffle_parts, table
+from plait.llm.common import materialize, shuffle_parts, small_batches, table
 from plait.llm.components import components
 from plait.llm.textvec import U, batches, mix, shingle_sets
 
@@ -270,6 +270,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: id_col, n_shingles, component_id (least id that
     links reach, itself included), set_id (hash of the shingle set)."""
     spark = df.sparkSession
+    small_batches(spark)
     parts = max(2, shuffle_parts(spark))
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     packed = src.mapInArrow(_pack(parts, k), _SCHEMA)

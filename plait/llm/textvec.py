@@ -13,7 +13,8 @@ import numpy as np
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_CHUNK = 1 << 21
+_CHUNK = 1 << 18
+_BATCH = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -73,7 +74,7 @@ class Words:
         return mix(out)
 
 
-def batches(texts: list[bytes | None], most: int = _CHUNK) -> Iterator[slice]:
+def batches(texts: list[bytes | None], most: int = _BATCH) -> Iterator[slice]:
     """Slices of texts of about `most` bytes, one text at least."""
     i = n = 0
     for j, x in enumerate(texts):
