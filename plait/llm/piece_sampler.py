@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plait.llm.common import table
+from plait.llm.common import small_batches, table
 from plait.llm.textvec import U, mix
 
 SPACE = "▁"
@@ -51,6 +51,25 @@ _STRETCH = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _K = [U(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03)]
 
 
+#: Keys are found by their first 16 bits, then one by one.
+_SHIFT = U(48)
+
+
+def _find(keys: np.ndarray, slots: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of h are among the sorted keys, and where those are."""
+    slot = (h >> _SHIFT).astype(np.int64)
+    at, stop = slots[slot], slots[slot + 1]
+    open_ = np.flatnonzero(at < stop)
+    hit = np.zeros(len(h), bool)
+    while len(open_):
+        same = keys[at[open_]] == h[open_]
+        hit[open_[same]] = True
+        open_ = open_[~same]
+        at[open_] += 1
+        open_ = open_[at[open_] < stop[open_]]
+    return np.flatnonzero(hit), at
+
+
 def _hash_chars(chars: np.ndarray) -> np.ndarray:
     return mix(chars.astype(U) * _K[0] + U(1))
 
@@ -100,7 +119,8 @@ class Pieces:
         self.levels = []
         for level in known:
             keys = np.array(sorted(level), U)
-            self.levels.append((keys, np.array([level[int(k)][0] for k in keys]), np.array([level[int(k)][1] for k in keys])))
+            slots = np.searchsorted(keys >> _SHIFT, np.arange((1 << 16) + 1, dtype=U)).astype(np.int32)
+            self.levels.append((keys, slots, np.array([level[int(k)][0] for k in keys]), np.array([level[int(k)][1] for k in keys])))
 
     def decode(self, ids) -> str:
         raw = b"".join([self.text[i] for i in ids])
@@ -120,9 +140,8 @@ class Lattice:
         at, h = np.arange(n), mix(code)
         starts, lengths, ids, logits = [], [], [], []
         single = np.zeros(n, bool)
-        for level, (keys, key_ids, key_logits) in enumerate(pieces.levels):
-            spot = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            ok = keys[spot] == h
+        for level, (keys, slots, key_ids, key_logits) in enumerate(pieces.levels):
+            ok, spot = _find(keys, slots, h)
             at, h, spot = at[ok], h[ok], spot[ok]
             full = key_ids[spot] >= 0
             starts.append(at[full])
@@ -341,12 +360,13 @@ def sample(texts: list[str], keys: list[int], pieces: Pieces, k: int) -> list[tu
     return out
 
 
-_BATCH = 1 << 20
+_BATCH = 1 << 19
 
 
 def encode(df: DataFrame, k: int = 2, model: str = MODEL, temperature: float = 1.0, key_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Rows key_col, rank, n_ids, log_prob, perturbed, inclusion, ids_hash (of
     the ids in order), exact (they decode to the text) and, if with_ids, ids."""
+    small_batches(df.sparkSession)
     with open(model, "rb") as f:
         pieces = df.sparkSession.sparkContext.broadcast(Pieces(f.read(), temperature))
     names = "n_ids log_prob perturbed inclusion ids_hash exact".split()
