@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plait.llm.common import small_batches, table
+from plait.llm.common import release, small_batches, table
 from plait.llm.textvec import U, Words, batches, grams
 
 _BLOCK = 16
@@ -213,6 +213,7 @@ def _leaks(index):
             for part in batches(raw):
                 hit[[part.start + r[0] for r in index.value.search(raw[part])]] = True
             yield pd.Series(hit)
+        release()
 
     return leaks
 

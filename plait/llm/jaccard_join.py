@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plait.llm.common import materialize, shuffle_parts, small_batches, table
+from plait.llm.common import materialize, release, shuffle_parts, small_batches, table
 from plait.llm.components import components
 from plait.llm.textvec import U, batches, mix, shingle_sets
 
@@ -115,6 +115,8 @@ def _pack(parts: int, k: int):
                     ids, sets, total, turn = [], [], 0, turn + 1
         if sets:
             yield _blocks(ids, sets, parts, turn)
+        ids, sets = [], []
+        release()
 
     return run
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plait.llm.common import fold, small_batches, table
+from plait.llm.common import fold, release, small_batches, table
 from plait.llm.textvec import U, Words, batches
 
 BITS = 16
@@ -247,6 +247,7 @@ def identify(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
                 langs += x
                 scores += s.tolist()
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+        release()
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col]
     return docs.mapInArrow(run, ", ".join([*fields, "lang_pred string, score double"]))
@@ -263,6 +264,7 @@ def language_of(model: Crf, spark: SparkSession):
             raw = [x.encode() if isinstance(x, str) else None for x in texts]
             parts = [sent.value.predict(raw[part]) for part in batches(raw, 1 << 19)]
             yield pd.DataFrame({"lang_pred": [x for p in parts for x in p[0]], "score": [x for p in parts for x in p[1].tolist()]})
+        release()
 
     return of
 

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plait.llm.common import small_batches, table
+from plait.llm.common import release, small_batches, table
 from plait.llm.textvec import U, mix
 
 SPACE = "▁"
@@ -396,6 +396,7 @@ def encode(df: DataFrame, k: int = 2, model: str = MODEL, temperature: float = 1
                     cols.append(pa.ListArray.from_arrays(pa.array(at), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(cols, ["key", "rank", *names, *["ids"] * with_ids])
                 i = j
+            release()
 
     src = df.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
     schema = "key bigint, rank int, n_ids bigint, log_prob double, perturbed double, inclusion double, ids_hash bigint, exact boolean"
