@@ -203,6 +203,20 @@ def test_url_rules_and_words(spark):
     assert url_filter.segment("cheappillsonline", logp) == ["cheap", "pills", "online"] and url_filter.segment("zqx", logp) == ["zqx"]
 
 
+def test_url_words_and_evidence_come_from_the_corpus(spark):
+    """Words outside the lists split a host, and the urls that rules decide teach the model."""
+    texts = spark.createDataFrame([("Bäcker Kirschen und der Garten. kirschen und garten, bäcker",), (None,)], "text string")
+    urls = [f"http://h{i}.com/en/kirschen/{i}" for i in range(40)] + [f"http://g{i}.net/de/garten/{i}" for i in range(40)]
+    urls += ["http://kirschenundgarten.test/1", "http://bäckergarten.test/", "http://kirschenkirschen.test/kirschen"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {r.url: r for r in url_filter.filter_urls(df, keep=("url",), texts=texts).collect()}
+    assert got["http://kirschenundgarten.test/1"]["words"].split()[:3] == ["kirschen", "und", "garten"]
+    assert got["http://bäckergarten.test/"]["words"].split()[:2] == ["bäcker", "garten"]
+    assert got["http://bäckergarten.test/"]["verdict"] == "allow" and got["http://kirschenkirschen.test/kirschen"]["verdict"] == "block"
+    parts = df.select(*[c.alias(k) for k, c in zip(("host", "path"), url_filter.split_url(F.col("url")), strict=True)])
+    assert url_filter.count_words(parts, texts) == {"kirschen": 43, "garten": 42, "und": 2, "bäcker": 2, "en": 40, "de": 40}
+
+
 def test_forward_backward_against_all_paths():
     rng = np.random.default_rng(1)
     emit, first, trans = rng.normal(size=(7, 3)), rng.random(3) + 0.1, rng.random((3, 3)) + 0.1
