@@ -1,7 +1,7 @@
 """Operator 8: repeated runs of lines, by a suffix order of line ids.
 
 Every text is a sequence of line ids (128-bit hashes of its non-blank lines;
-a line's words are its spaces and one). A run of lines is repeated if it
+words are those of the shared pattern WORD). A run of lines is repeated if it
 occurs at an earlier place too, in the order of (doc_id, text hash, line). All
 later copies of repeated runs of `min_words` words or more are deleted; the
 first copy stays, and so do repeated runs that are shorter.
@@ -37,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plait.llm.common import materialize, table
+from plait.llm.common import WORD, materialize, table
 
 _PLACE = ("doc_id", "row_hash")
 
@@ -62,7 +62,7 @@ def _stretches(df: DataFrame, min_words: int) -> DataFrame:
     x = F.col("s.x")
     lines = lines.select(
         "doc_id", "row_hash", "pos", F.col("s.i").alias("line"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"),
-        (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).cast("long").alias("w"),
+        F.regexp_count(x, F.lit(f"{WORD}+")).cast("long").alias("w"),
     )
     lines = materialize(lines, "lines")
     again = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b")

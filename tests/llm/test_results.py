@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from plait.llm import html_extract, jaccard_join, language_id, piece_sampler, quality_model, queries, url_filter
+from plait.llm import html_extract, jaccard_join, language_id, line_dedup, piece_sampler, quality_model, queries, url_filter
 from plait.llm.common import fold
 from plait.llm.textvec import Words, grams, shingle_sets
 
@@ -106,6 +106,17 @@ def test_line_dedup(spark, docs):
     assert {i: r.text for i, r in got.items()} == want
 
 
+def test_line_dedup_counts_words_and_not_spaces(spark):
+    """60 words parted by tabs are a passage; 12 words with many spaces are none."""
+    tabs = "\n".join("\t".join(f"t{i}_{j}" for j in range(20)) for i in range(3))
+    code = "\n".join(f"{' ' * 24}a{i}  =  b{i}  " for i in range(4))
+    edge = "\n".join(" \t ".join(f"e{i}_{j}" for j in range(7)) for i in range(7))  # 49 words
+    rows = [(2 * k + n, f"own {k} {n}\n{x}\nend {k} {n}") for k, x in enumerate((tabs, code, edge)) for n in range(2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {**dict(rows), 1: "own 0 1\nend 0 1"}
+
+
 def test_decontamination(spark, docs):
     got = {(r.doc_id, r.item_id) for r in queries.queries()["op6_decontaminate"](spark, SF).collect()}
     want = set()
