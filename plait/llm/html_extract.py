@@ -81,15 +81,14 @@ def _is_main(tag: str, attrs: str) -> bool:
     return tag in ("article", "main") or "main" in attrs and bool(re.search(r"role\s*=\s*[\"']?main\b", attrs))
 
 
-def parse(page: str) -> tuple[list[tuple[str, bool, float, list[int]]], list[int]]:
-    """Blocks as (text, in main, share of link text, hashes of the subtrees it
-    lies in), in page order; and the hashes of all the page's subtrees."""
+def parse(page: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
+    """Blocks as (text, in main, hashes of the subtrees it lies in), in page
+    order; and the hashes of all the page's subtrees."""
     # an open element: tag, its text is dropped, in main, content hasher, first block, holds main
     stack: list[list] = [["", False, False, xxhash.xxh3_64(), 0, True]]
     blocks: list[list] = []
     subtrees: set[int] = set()
     words: list[str] = []
-    links = [0, 0]  # characters within links, characters
 
     def flush() -> None:
         top = stack[-1]
@@ -98,8 +97,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool, float, list[int]]], list[int
         if text:
             top[3].update(text.encode("utf-8", "surrogatepass"))
             if not top[1]:
-                blocks.append([text, top[2], links[0] / max(1, links[1]), []])
-        links[0] = links[1] = 0
+                blocks.append([text, top[2], []])
 
     def close() -> None:
         tag, dropped, _, content, first, has_main = stack[-1]
@@ -113,11 +111,11 @@ def parse(page: str) -> tuple[list[tuple[str, bool, float, list[int]]], list[int
                 signed = digest - (1 << 64) if digest >> 63 else digest
                 subtrees.add(signed)
                 for b in blocks[first:]:
-                    b[3].append(signed)
+                    b[2].append(signed)
         parent[3].update(b"<%x>" % digest)
         parent[5] = parent[5] or has_main
 
-    at, n_anchor = 0, 0
+    at = 0
     while True:
         m = TOKEN.search(page, at)
         end = m.start() if m else len(page)
@@ -126,9 +124,6 @@ def parse(page: str) -> tuple[list[tuple[str, bool, float, list[int]]], list[int
             if "&" in text:
                 text = htmllib.unescape(text)
             words.append(text)
-            links[1] += len(text)
-            if n_anchor:
-                links[0] += len(text)
         if not m:
             break
         at = m.end()
@@ -162,7 +157,6 @@ def parse(page: str) -> tuple[list[tuple[str, bool, float, list[int]]], list[int
                 flush()
             main = top[2] or not drop and _is_main(tag, attrs)
             stack.append([tag, drop, main, xxhash.xxh3_64(f"{tag} {attrs}".encode("utf-8", "surrogatepass")), len(blocks), main and not top[2]])
-            n_anchor += tag == "a"
         elif m[1]:
             tag = m[1].lower()
             for i in range(len(stack) - 1, 0, -1):
@@ -170,7 +164,6 @@ def parse(page: str) -> tuple[list[tuple[str, bool, float, list[int]]], list[int
                     if tag in BLOCK:
                         flush()
                     while len(stack) > i:
-                        n_anchor -= stack[-1][0] == "a"
                         close()
                     break
                 if stack[i][0] in ("td", "table", "article", "main") and tag not in BLOCK:
@@ -181,8 +174,8 @@ def parse(page: str) -> tuple[list[tuple[str, bool, float, list[int]]], list[int
     return [tuple(b) for b in blocks], sorted(subtrees)
 
 
-BLOCKS = "array<struct<t:string,m:boolean,l:double,a:array<bigint>>>"
-_ARROW = pa.list_(pa.struct([("t", pa.string()), ("m", pa.bool_()), ("l", pa.float64()), ("a", pa.list_(pa.int64()))]))
+BLOCKS = "array<struct<t:string,m:boolean,a:array<bigint>>>"
+_ARROW = pa.list_(pa.struct([("t", pa.string()), ("m", pa.bool_()), ("a", pa.list_(pa.int64()))]))
 
 
 def parse_pages(df: DataFrame, html_col: str = "html") -> DataFrame:
@@ -194,7 +187,7 @@ def parse_pages(df: DataFrame, html_col: str = "html") -> DataFrame:
             for i in range(0, whole.num_rows, 256):
                 b = whole.slice(i, 256)
                 got = [parse(x or "") for x in b.column(html_col).to_pylist()]
-                blocks = [[dict(zip("tmla", x, strict=True)) for x in bs] for bs, _ in got]
+                blocks = [[dict(zip("tma", x, strict=True)) for x in bs] for bs, _ in got]
                 content = [xxhash.xxh3_64_intdigest("\n".join(x[0] for x in bs)) >> 1 for bs, _ in got]
                 yield pa.RecordBatch.from_arrays(
                     [*[b.column(c) for c in keep], pa.array(blocks, _ARROW), pa.array([s for _, s in got], pa.list_(pa.int64())), pa.array(content, pa.int64())],
@@ -233,7 +226,7 @@ def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", share:
     has_main = F.exists("blocks", lambda b: b["m"])
     loose, strict = F.coalesce("loose", none), F.coalesce("strict", none)
     kept = F.when(has_main, F.filter("blocks", lambda b: b["m"] & ~F.arrays_overlap(b["a"], strict))).otherwise(
-        F.filter("blocks", lambda b: (b["l"] <= 0.5) & ~F.arrays_overlap(b["a"], loose))
+        F.filter("blocks", lambda b: ~F.arrays_overlap(b["a"], loose))
     )
     return joined.select("row.*", F.array_join(F.transform(kept, lambda b: b["t"]), "\n\n").alias("text"))
 

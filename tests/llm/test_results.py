@@ -189,6 +189,13 @@ def test_template_removal(spark):
     assert got[3] == "own text 3 of the page" and got[103] == "One page, many times\n\nits end"
 
 
+def test_linked_text_stays(spark):
+    """Link lists and linked paragraphs of the page itself are no template."""
+    page = "<div><p>Text of the page.</p><p><a href='x'>A linked paragraph</a>, that is</p><ul><li><a href='y'>First source</a></li></ul></div>"
+    df = spark.createDataFrame([(1, "http://a.test/1", page)], "page_id bigint, url string, html string")
+    assert html_extract.extract(df).first().text == "Text of the page.\n\nA linked paragraph, that is\n\nFirst source"
+
+
 def test_html_roles():
     page = """<body><header>Top</header><nav>Menu</nav><div id="cookie-notice">Eat</div><main><header><h1>Title</h1></header><p>One&nbsp;two<br>three
     &amp; four</p><form>name</form><div class="comments">Nice!</div><aside>Side</aside><p hidden>no</p></main><footer>End</footer><script>x</script></body>"""
