@@ -9,9 +9,16 @@ goes at once, and a page with an article or main element keeps only what lies
 in it. Copies of a page count once, so a page copied many times on one host
 doesn't become its template.
 
+Many pages are `share` of the host's (`main_share` for subtrees within article
+or main); or, within article or main as without, `share` of them or `many`
+whatever the host's size, of pages that are otherwise different: those of whose
+text (of the article's, if there is one) half or more lies in no subtree that
+recurs. Near copies of a page thus don't become template by their number alone.
+In either case `least` pages are needed.
+
 Scale: a host may hold a third of all pages; its subtrees are counted by (host,
-hash) with partial aggregation, and the templates of a host number at most the
-mean subtrees of a page divided by `share`, so the list joined back is bounded.
+hash) with partial aggregation, and the templates found are joined to the
+subtrees of each page, so no task gathers those of a host.
 
 Defined edge cases: null or empty html and pages without text give an empty
 text; a null url has an empty host, and such pages form one host; unclosed or
@@ -198,31 +205,40 @@ def parse_pages(df: DataFrame, html_col: str = "html") -> DataFrame:
     return df.mapInArrow(run, f"{fields}, blocks {BLOCKS}, subtrees array<bigint>, content bigint")
 
 
-def site_templates(parsed: DataFrame, share: float, main_share: float, least: int) -> DataFrame:
-    """host, loose and strict: hashes of subtrees on `share` (loose) or
-    `main_share` (strict) of the host's distinct pages, and on `least` at least."""
-    once = parsed.groupBy("host", "content").agg(F.max("subtrees").alias("subtrees"))
+def site_templates(parsed: DataFrame, share: float, main_share: float, least: int, many: int) -> DataFrame:
+    """host, h (hash of a subtree) of the templates, and whether each is one
+    outside (loose) and within (strict) article and main."""
+    some = F.transform("blocks", lambda b: F.struct(b["m"].alias("m"), F.length(b["t"]).alias("n"), b["a"].alias("a")))
+    once = parsed.groupBy("host", "content").agg(F.max(F.struct("subtrees", some.alias("blocks"))).alias("p")).select("host", "content", "p.*")
     pages = once.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= least)
-    counts = once.select("host", F.explode("subtrees").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    found = counts.join(pages, "host").filter(F.col("n") >= F.col("pages") * F.lit(share))
-    return found.groupBy("host").agg(
-        F.collect_list("h").alias("loose"),
-        F.collect_list(F.when(F.col("n") >= F.col("pages") * F.lit(main_share), F.col("h"))).alias("strict"),
-    )
-
-
-def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", share: float = 0.3, main_share: float = 0.9, least: int = 8) -> DataFrame:
-    """df's columns but the html (and any text), then text: its blocks joined by an empty line.
-    A block within the page's article or main element goes only with a subtree
-    on main_share of the host's pages."""
+    subtrees = once.select("host", "content", F.explode("subtrees").alias("h"))
+    counts = materialize(subtrees.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least), "counts")
+    again = subtrees.join(counts, ["host", "h"]).groupBy("host", "content").agg(F.collect_list("h").alias("again"))
+    has_main = F.exists("blocks", lambda b: b["m"])
+    text = F.filter("blocks", lambda b: b["m"] | ~has_main)
+    size = lambda bs: F.aggregate(bs, F.lit(0), lambda n, b: n + b["n"])
+    own = F.filter(text, lambda b: ~F.arrays_overlap(b["a"], F.col("again")))
+    different = once.join(again, ["host", "content"]).filter(size(own) * 2 >= size(text))
+    votes = different.select("host", F.explode("again").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("votes"))
+    found = counts.join(pages, "host").join(votes, ["host", "h"], "left")
+    bar = F.greatest(F.lit(float(least)), F.least(F.col("pages") * F.lit(share), F.lit(float(many))))
+    by_votes = F.coalesce(F.col("votes") >= bar, F.lit(False))
+    loose, strict = (by_votes | (F.col("n") >= F.col("pages") * F.lit(x)) for x in (share, main_share))
+    return found.select("host", "h", loose.alias("loose"), strict.alias("strict")).filter("loose or strict")
+
+
+def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", share: float = 0.3, main_share: float = 0.9, least: int = 8, many: int = 30) -> DataFrame:
+    """df's columns but the html (and any text), then text: its blocks joined by an empty line."""
     host = F.coalesce(split_url(F.col(url_col))[0], F.lit(""))
     keep = [c for c in df.columns if c not in (html_col, "text")]
     rows = df.select(F.struct(*keep).alias("row"), host.alias("host"), F.col(html_col).alias("html"))
     small_batches(df.sparkSession)
-    parsed = materialize(parse_pages(rows), "pages")
-    rules = materialize(site_templates(parsed, share, main_share, least), "templates")
+    parsed = materialize(parse_pages(rows), "pages").withColumn("key", F.xxhash64("subtrees"))
+    rules = materialize(site_templates(parsed, share, main_share, least, many), "templates")
+    met = parsed.select("host", "key", F.explode("subtrees").alias("h")).distinct().join(rules, ["host", "h"])
+    met = met.groupBy("host", "key").agg(*[F.collect_list(F.when(F.col(c), F.col("h"))).alias(c) for c in ("loose", "strict")])
     none = F.expr("cast(array() as array<bigint>)")
-    joined = parsed.join(rules, "host", "left")
+    joined = parsed.join(met, ["host", "key"], "left")
     has_main = F.exists("blocks", lambda b: b["m"])
     loose, strict = F.coalesce("loose", none), F.coalesce("strict", none)
     kept = F.when(has_main, F.filter("blocks", lambda b: b["m"] & ~F.arrays_overlap(b["a"], strict))).otherwise(

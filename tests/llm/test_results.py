@@ -196,6 +196,21 @@ def test_linked_text_stays(spark):
     assert html_extract.extract(df).first().text == "Text of the page.\n\nA linked paragraph, that is\n\nFirst source"
 
 
+def test_templates_of_sections_and_within_articles(spark):
+    """A block on a section's pages is template on a host of any size, and so is one within most
+    articles; near copies of an article are not."""
+    own = lambda i: f"Text of page {i} alone, which is told at some length and is said nowhere else"
+    rows = [(i, f"http://a.test/s{i % 5}/{i}", f"<div>{own(i)}</div><div>Read more of section {i % 5}</div>") for i in range(200)]
+    rows += [(1000 + i, f"http://b.test/{i}", f"<article><p>{own(i)}</p>{'<div>Join us today</div>' if i % 5 else ''}</article>") for i in range(20)]
+    rows += [(2000 + i, f"http://c.test/{i}", f"<article><p>{own('c')}</p><p>Seen {i} times</p></article>") for i in range(16)]
+    rows += [(3000 + i, f"http://c.test/{i}", f"<article><p>{own(i)}</p></article>") for i in range(16)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert all(got[i] == own(i) for i in range(200))
+    assert all(got[1000 + i] == got[3000 + i % 16] or i >= 16 for i in range(20)) and got[1019] == own(19)
+    assert all(got[2000 + i] == f"{own('c')}\n\nSeen {i} times" for i in range(16))
+
+
 def test_html_roles():
     page = """<body><header>Top</header><nav>Menu</nav><div id="cookie-notice">Eat</div><main><header><h1>Title</h1></header><p>One&nbsp;two<br>three
     &amp; four</p><form>name</form><div class="comments">Nice!</div><aside>Side</aside><p hidden>no</p></main><footer>End</footer><script>x</script></body>"""
