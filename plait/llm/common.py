@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,15 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one where that is unset (tests on one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where
+    it is unset, a temporary one in local mode (tests); an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="plait-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = _own.setdefault("dir", None) or tempfile.mkdtemp(prefix="plait-")
+        _own["dir"] = path
     return path.rstrip("/")
 
 
+_own: dict[str, str | None] = {}
+
+
 def materialize(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the
     lineage, and survives the loss of any executor."""
@@ -38,7 +44,18 @@ def materialize(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._plait_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize that nothing to come reads."""
+    for df in tables:
+        spark, path = df.sparkSession, df.__dict__.pop("_plait_path", None)
+        if path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def let(value: Column, body) -> Column:
@@ -63,13 +80,10 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Whole texts go to Python in batches of at most `rows`, where the session
-    has Spark's default of 10,000: a batch is held several times over, and two
-    workers share an executor's memory outside the heap."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) == 10_000:
-        spark.conf.set(key, rows)
+def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of whole texts: what is worked out for a part is held several times over."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
 
 
 def release() -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plait.llm.common import materialize
+from plait.llm.common import discard, materialize
 
 
 def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
@@ -21,12 +21,16 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
         new = materialize(
-            labels.join(near.withColumnRenamed("a", "node"), "node")
+            labels.select("node", "root").join(near.withColumnRenamed("a", "node"), "node")
             .join(jump, "root", "left")
             .select("node", F.col("root").alias("old"), F.least("root", "m", "up").alias("root")),
             "labels",
         )
-        labels = new.select("node", "root")
+        discard(labels)
+        labels = new
         if not new.filter("old <> root").limit(1).count():
-            return labels
+            discard(both)
+            out = new.drop("old")
+            out._plait_path = new._plait_path
+            return out
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
