@@ -1,13 +1,16 @@
 """Operator 3: main text of web pages, with site template removal.
 
-Each page is parsed once on the executors into blocks of text, each with the
-hashes of the element subtrees it lies in. Spark counts each subtree's hash per
-host over distinct pages; subtrees that recur on many pages of their host are
-template and the blocks within them go. What the page's own markup names as
-menu, header, footer, sidebar, notice, advert, form, script, style or comment
-goes at once, and a page with an article or main element keeps only what lies
-in it. Copies of a page count once, so a page copied many times on one host
-doesn't become its template.
+Each page is parsed once on the executors into blocks of text, and the element
+subtrees that hold them: a hash and a span of blocks. Spark counts each
+subtree's hash per host over distinct pages; subtrees that recur on many pages
+of their host are template and the blocks within them go. What the page's own
+markup names as menu, header, footer, sidebar, notice, advert, form, script,
+style or comment goes at once, and a page with an article or main element keeps
+only what lies in it. Within those, and for paragraphs, headings, list items
+and the like anywhere, a class or id names such furniture only if all of its
+words do (`ad`, `comment-list`, `cookie-notice`; not `search-note`). Copies of a
+page count once, so a page copied many times on one host doesn't become its
+template.
 
 Many pages are `share` of the host's (`main_share` for subtrees within article
 or main); or, within article or main as without, `share` of them or `many`
@@ -18,7 +21,8 @@ In either case `least` pages are needed.
 
 Scale: a host may hold a third of all pages; its subtrees are counted by (host,
 hash) with partial aggregation, and the templates found are joined to the
-subtrees of each page, so no task gathers those of a host.
+subtrees of each page, so no task gathers those of a host. Counts and joins see
+hashes and spans only; the texts move once, to meet their page's spans.
 
 Defined edge cases: null or empty html and pages without text give an empty
 text; a null url has an empty host, and such pages form one host; unclosed or
@@ -37,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plait.llm.common import materialize, small_batches, table
+from plait.llm.common import discard, materialize, release, slices, table
 from plait.llm.url_filter import split_url
 
 TOKEN = re.compile(
@@ -64,9 +68,27 @@ BAD_WORDS = frozenset(
     "overlay comment comments reply replies disqus respond social share sharing related recommended pagination pager login signup search "
     "widget toolbar skip hidden".split()
 )
+#: Words that such names add to those.
+PLAIN_WORDS = frozenset(
+    "area bar block bottom box button buttons container content form group inner item items left link links list module outer panel post posts "
+    "right row section slot stories top unit wrap wrapper".split()
+)
+#: Elements that hold text rather than other blocks.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr caption blockquote pre figcaption span a b i em strong small q code sub sup u s mark time".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 
 
+def _furniture(name: str, strict: bool) -> bool:
+    """Whether a class or id names furniture: one of its words does or, strictly, all that say anything."""
+    if not strict:
+        return not BAD_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", name))
+    for token in name.split():
+        words = [w for w in re.split(r"[^a-z]+", token) if w]
+        if any(w in BAD_WORDS for w in words) and all(w in BAD_WORDS or w in PLAIN_WORDS for w in words):
+            return True
+    return False
+
+
 def _unwanted(tag: str, attrs: str, in_main: bool) -> bool:
     if tag in DROP or tag == "header" and not in_main:
         return True
@@ -75,7 +97,7 @@ def _unwanted(tag: str, attrs: str, in_main: bool) -> bool:
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            if not BAD_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+            if _furniture(value, in_main or tag in TEXT):
                 return True
         elif name == "role" and value in BAD_ROLES or name == "aria-hidden" and value == "true":
             return True
@@ -88,13 +110,13 @@ def _is_main(tag: str, attrs: str) -> bool:
     return tag in ("article", "main") or "main" in attrs and bool(re.search(r"role\s*=\s*[\"']?main\b", attrs))
 
 
-def parse(page: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
-    """Blocks as (text, in main, hashes of the subtrees it lies in), in page
-    order; and the hashes of all the page's subtrees."""
+def parse(page: str) -> tuple[list[tuple[str, bool]], list[tuple[int, int, int]]]:
+    """Blocks as (text, in main), in page order; and the subtrees that hold
+    some: hash, first block, last block + 1."""
     # an open element: tag, its text is dropped, in main, content hasher, first block, holds main
     stack: list[list] = [["", False, False, xxhash.xxh3_64(), 0, True]]
-    blocks: list[list] = []
-    subtrees: set[int] = set()
+    blocks: list[tuple[str, bool]] = []
+    subtrees: list[tuple[int, int, int]] = []
     words: list[str] = []
 
     def flush() -> None:
@@ -104,7 +126,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
         if text:
             top[3].update(text.encode("utf-8", "surrogatepass"))
             if not top[1]:
-                blocks.append([text, top[2], []])
+                blocks.append((text, top[2]))
 
     def close() -> None:
         tag, dropped, _, content, first, has_main = stack[-1]
@@ -114,11 +136,8 @@ def parse(page: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
         parent = stack[-1]
         digest = content.intdigest()
         if tag in BLOCK:
-            if tag not in ("html", "body") and not has_main:
-                signed = digest - (1 << 64) if digest >> 63 else digest
-                subtrees.add(signed)
-                for b in blocks[first:]:
-                    b[2].append(signed)
+            if tag not in ("html", "body") and not has_main and len(blocks) > first:
+                subtrees.append((digest - (1 << 64) if digest >> 63 else digest, first, len(blocks)))
         parent[3].update(b"<%x>" % digest)
         parent[5] = parent[5] or has_main
 
@@ -178,73 +197,86 @@ def parse(page: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
     while len(stack) > 1:
         close()
     flush()
-    return [tuple(b) for b in blocks], sorted(subtrees)
+    return blocks, subtrees
+
+
+def page_text(page: str) -> tuple[list[str], list[tuple[int, int, int]], bool, int]:
+    """Of a page: the blocks that may be its text (those in an article or main
+    element, if there is one); the subtrees, with an empty span where they hold
+    none of those; whether there is such an element; a hash of all its text."""
+    blocks, subtrees = parse(page)
+    content = xxhash.xxh3_64_intdigest("\n".join(b[0] for b in blocks).encode("utf-8", "surrogatepass")) >> 1
+    if not any(b[1] for b in blocks):
+        return [b[0] for b in blocks], subtrees, False, content
+    before = [0]
+    for b in blocks:
+        before.append(before[-1] + b[1])
+    return [b[0] for b in blocks if b[1]], [(h, before[lo], before[hi]) for h, lo, hi in subtrees], True, content
 
 
-BLOCKS = "array<struct<t:string,m:boolean,a:array<bigint>>>"
-_ARROW = pa.list_(pa.struct([("t", pa.string()), ("m", pa.bool_()), ("a", pa.list_(pa.int64()))]))
+_SUBTREES = pa.list_(pa.struct([("h", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
 
 
 def parse_pages(df: DataFrame, html_col: str = "html") -> DataFrame:
-    """df with blocks, subtrees and content (a hash of the text) in place of the html."""
+    """df with blocks, sizes (their lengths), subtrees, has_main and content (a hash) in place of the html."""
     keep = [c for c in df.columns if c != html_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b = whole.slice(i, 256)
-                got = [parse(x or "") for x in b.column(html_col).to_pylist()]
-                blocks = [[dict(zip("tma", x, strict=True)) for x in bs] for bs, _ in got]
-                content = [xxhash.xxh3_64_intdigest("\n".join(x[0] for x in bs)) >> 1 for bs, _ in got]
-                yield pa.RecordBatch.from_arrays(
-                    [*[b.column(c) for c in keep], pa.array(blocks, _ARROW), pa.array([s for _, s in got], pa.list_(pa.int64())), pa.array(content, pa.int64())],
-                    [*keep, "blocks", "subtrees", "content"],
-                )
+            for b in slices(whole, 256):
+                got = [page_text(x or "") for x in b.column(html_col).to_pylist()]
+                subtrees = [[{"h": h, "lo": lo, "hi": hi} for h, lo, hi in g[1]] for g in got]
+                made = {
+                    "blocks": pa.array([g[0] for g in got], pa.list_(pa.string())), "sizes": pa.array([list(map(len, g[0])) for g in got], pa.list_(pa.int32())),
+                    "subtrees": pa.array(subtrees, _SUBTREES), "has_main": pa.array([g[2] for g in got]), "content": pa.array([g[3] for g in got], pa.int64()),
+                }
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *made.values()], [*keep, *made])
+        release()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != html_col)
-    return df.mapInArrow(run, f"{fields}, blocks {BLOCKS}, subtrees array<bigint>, content bigint")
+    return df.mapInArrow(run, f"{fields}, blocks array<string>, sizes array<int>, subtrees array<struct<h:bigint,lo:int,hi:int>>, has_main boolean, content bigint")
 
 
 def site_templates(parsed: DataFrame, share: float, main_share: float, least: int, many: int) -> DataFrame:
     """host, h (hash of a subtree) of the templates, and whether each is one
-    outside (loose) and within (strict) article and main."""
-    some = F.transform("blocks", lambda b: F.struct(b["m"].alias("m"), F.length(b["t"]).alias("n"), b["a"].alias("a")))
-    once = parsed.groupBy("host", "content").agg(F.max(F.struct("subtrees", some.alias("blocks"))).alias("p")).select("host", "content", "p.*")
+    outside (loose) and within (strict) article and main; from host (its hash),
+    content, subtrees and sizes."""
+    once = parsed.select("host", "content", "subtrees", "sizes").dropDuplicates(["host", "content"])
+    once = materialize(once, "once")
     pages = once.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= least)
-    subtrees = once.select("host", "content", F.explode("subtrees").alias("h"))
-    counts = materialize(subtrees.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least), "counts")
-    again = subtrees.join(counts, ["host", "h"]).groupBy("host", "content").agg(F.collect_list("h").alias("again"))
-    has_main = F.exists("blocks", lambda b: b["m"])
-    text = F.filter("blocks", lambda b: b["m"] | ~has_main)
-    size = lambda bs: F.aggregate(bs, F.lit(0), lambda n, b: n + b["n"])
-    own = F.filter(text, lambda b: ~F.arrays_overlap(b["a"], F.col("again")))
-    different = once.join(again, ["host", "content"]).filter(size(own) * 2 >= size(text))
+    subtrees = once.select("host", "content", F.explode("subtrees").alias("s")).select("host", "content", "s.*")
+    counts = subtrees.select("host", "content", "h").distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts.filter(F.col("n") >= least), "counts")
+    # pages that are otherwise different: half their text or more lies in no subtree that recurs
+    again = subtrees.join(counts.select("host", "h"), ["host", "h"]).groupBy("host", "content").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"), F.collect_set("h").alias("again"))
+    size = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda n, x: n + x)
+    own = F.filter("sizes", lambda _, i: ~F.exists("spans", lambda s: (s["lo"] <= i) & (i < s["hi"])))
+    different = once.join(again, ["host", "content"]).filter(size(own) * 2 >= size("sizes"))
     votes = different.select("host", F.explode("again").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("votes"))
     found = counts.join(pages, "host").join(votes, ["host", "h"], "left")
     bar = F.greatest(F.lit(float(least)), F.least(F.col("pages") * F.lit(share), F.lit(float(many))))
     by_votes = F.coalesce(F.col("votes") >= bar, F.lit(False))
     loose, strict = (by_votes | (F.col("n") >= F.col("pages") * F.lit(x)) for x in (share, main_share))
-    return found.select("host", "h", loose.alias("loose"), strict.alias("strict")).filter("loose or strict")
+    out = materialize(found.select("host", "h", loose.alias("loose"), strict.alias("strict")).filter("loose or strict"), "templates")
+    discard(once, counts)
+    return out
 
 
 def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", share: float = 0.3, main_share: float = 0.9, least: int = 8, many: int = 30) -> DataFrame:
     """df's columns but the html (and any text), then text: its blocks joined by an empty line."""
-    host = F.coalesce(split_url(F.col(url_col))[0], F.lit(""))
+    host = F.xxhash64(F.coalesce(split_url(F.col(url_col))[0], F.lit("")))
     keep = [c for c in df.columns if c not in (html_col, "text")]
-    rows = df.select(F.struct(*keep).alias("row"), host.alias("host"), F.col(html_col).alias("html"))
-    small_batches(df.sparkSession)
-    parsed = materialize(parse_pages(rows), "pages").withColumn("key", F.xxhash64("subtrees"))
-    rules = materialize(site_templates(parsed, share, main_share, least, many), "templates")
-    met = parsed.select("host", "key", F.explode("subtrees").alias("h")).distinct().join(rules, ["host", "h"])
-    met = met.groupBy("host", "key").agg(*[F.collect_list(F.when(F.col(c), F.col("h"))).alias(c) for c in ("loose", "strict")])
-    none = F.expr("cast(array() as array<bigint>)")
-    joined = parsed.join(met, ["host", "key"], "left")
-    has_main = F.exists("blocks", lambda b: b["m"])
-    loose, strict = F.coalesce("loose", none), F.coalesce("strict", none)
-    kept = F.when(has_main, F.filter("blocks", lambda b: b["m"] & ~F.arrays_overlap(b["a"], strict))).otherwise(
-        F.filter("blocks", lambda b: ~F.arrays_overlap(b["a"], loose))
+    rows = df.select(F.struct(*keep).alias("row"), F.monotonically_increasing_id().alias("uid"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
+    parsed = materialize(parse_pages(rows), "pages")
+    rules = site_templates(parsed, share, main_share, least, many)
+    met = parsed.filter("size(blocks) > 0").select("uid", "host", "has_main", F.explode("subtrees").alias("s")).filter("s.hi > s.lo")
+    met = met.select("uid", "host", "has_main", F.col("s.h").alias("h"), "s.lo", "s.hi").join(rules, ["host", "h"])
+    met = met.filter(F.when(F.col("has_main"), F.col("strict")).otherwise(F.col("loose"))).groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    joined = parsed.select("uid", "row", "blocks").join(met, "uid", "left")
+    kept = F.when(F.col("spans").isNull(), F.col("blocks")).otherwise(
+        F.filter("blocks", lambda _, i: ~F.exists("spans", lambda s: (s["lo"] <= i) & (i < s["hi"])))
     )
-    return joined.select("row.*", F.array_join(F.transform(kept, lambda b: b["t"]), "\n\n").alias("text"))
+    return joined.select("row.*", F.array_join(kept, "\n\n").alias("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
