@@ -12,11 +12,14 @@ folded into blocks; a block's transfer matrix is a product of its links, the
 blocks are joined in turn, and then all blocks step at once. This is exact for
 a text of any length, with no Python step per word.
 
-The model is learned on at most `per_language` documents of each language (the
-least hashes of doc_id) and `most_words` words of each; it is a few MB, and
-travels to the executors as a broadcast. Scoring shuffles nothing.
-
-Defined edge cases: a null text or one without a letter is `und` with score 0;
+The model is learned on at most `per_language` whole documents of each language
+(the least hashes of doc_id). They are cut in stretches of about `stretch`
+words, and stretches of any languages are joined to chains, so switches are
+seen and their transitions are learned like all else. The model is a few MB,
+and travels to the executors as a broadcast. Scoring shuffles nothing.
+
+Defined edge cases: a null text or one without a letter (a character of the
+Unicode classes L) is `und` with score 0;
 where no language can be learned all are `und`; with one language it has score
 1; repeated rows each get the same result; a null doc_id is not held out and
 teaches nothing; extra columns are not read, lang is read to learn only.
@@ -25,21 +28,40 @@ teaches nothing; extra columns are not read, lang is read to learn only.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plait.llm.common import fold, release, small_batches, table
+from plait.llm.common import fold, release, slices, table
 from plait.llm.textvec import U, Words, batches
 
 BITS = 16
 _MASK = (1 << BITS) - 1
-_LETTER = np.zeros(256, np.int64)
-_LETTER[65:91] = _LETTER[97:123] = _LETTER[0xC3:0xF5] = 1
+
+
+@cache
+def _alphabet() -> np.ndarray:
+    """Which characters are letters, as bits."""
+    return np.packbits(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
+
+
+def letters(buf: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
+    """1 at each byte of UTF-8 that begins a letter."""
+    out = np.zeros(len(buf), np.int64)
+    out[(buf >= 65) & (buf <= 90) | (buf >= 97) & (buf <= 122)] = 1
+    lead = np.flatnonzero(buf >= 0xC2)
+    if len(lead):
+        b = np.concatenate([buf, np.zeros(3, buf.dtype)]).astype(np.int32)
+        b0, b1, b2, b3 = b[lead], b[lead + 1] & 63, b[lead + 2] & 63, b[lead + 3] & 63
+        two, three = (b0 & 31) << 6 | b1, (b0 & 15) << 12 | b1 << 6 | b2
+        code = np.where(b0 < 0xE0, two, np.where(b0 < 0xF0, three, (b0 & 7) << 18 | b1 << 12 | b2 << 6 | b3))
+        code = np.minimum(code, 0x10FFFF)
+        out[lead] = alphabet[code >> 3] >> (7 - (code & 7)) & 1
+    return out
 
 
 def _grams(buf: np.ndarray) -> np.ndarray:
@@ -145,6 +167,7 @@ def forward_backward(emit: np.ndarray, start: np.ndarray, first: np.ndarray, tra
 class Crf:
     def __init__(self, languages: list[str], weight: np.ndarray, first: np.ndarray, trans: np.ndarray):
         self.languages, self.weight, self.first, self.trans = languages, weight, first, trans
+        self.alphabet = _alphabet()
 
     def marginals(self, texts: list[bytes | None]) -> tuple[Words, np.ndarray]:
         f = Features(texts)
@@ -157,29 +180,21 @@ class Crf:
         if not self.languages:
             return ["und"] * n, np.zeros(n)
         words, gamma = self.marginals(texts)
-        run = np.concatenate([[0], np.cumsum(_LETTER[words.buf])])
-        letters = run[words.end] - run[words.start]
-        share = np.stack([np.bincount(words.doc, weights=gamma[:, j] * letters, minlength=n) for j in range(gamma.shape[1])], 1)
-        total = np.bincount(words.doc, weights=letters, minlength=n)
+        run = np.concatenate([[0], np.cumsum(letters(words.buf, self.alphabet))])
+        count = run[words.end] - run[words.start]
+        share = np.stack([np.bincount(words.doc, weights=gamma[:, j] * count, minlength=n) for j in range(gamma.shape[1])], 1)
+        total = np.bincount(words.doc, weights=count, minlength=n)
         best = share.argmax(1)
         score = share[np.arange(n), best] / np.maximum(total, 1)
-        ascii_letters = np.zeros(256, np.int64)
-        ascii_letters[65:91] = ascii_letters[97:123] = 1
-        run = np.concatenate([[0], np.cumsum(ascii_letters[words.buf])])
-        plain = run[words.at[1:]] - run[words.at[:-1]]
-        out = []
-        for d in range(n):
-            ok = plain[d] > 0 or any(c.isalpha() for c in (texts[d] or b"").decode("utf-8", "replace"))
-            if ok and not total[d]:  # letters of other scripts alone
-                ok = False
-            out.append(self.languages[best[d]] if ok else "und")
-            if not ok:
-                score[d] = 0.0
-        return out, np.clip(score, 0.0, 1.0)
-
-
-def learn(texts: list[bytes], langs: list[str], epochs: int = 3, batch: int = 64, rate: float = 0.15, ridge: float = 1e-6, seed: int = 11) -> Crf:
-    """Conditional likelihood by AdaGrad on minibatches; every word of a text has its language."""
+        return [self.languages[b] if t else "und" for b, t in zip(best, total, strict=True)], np.where(total > 0, np.clip(score, 0.0, 1.0), 0.0)
+
+
+def learn(
+    texts: list[bytes], langs: list[str], epochs: int = 3, batch: int = 400, stretch: int = 40, chain: int = 8, rate: float = 0.15, ridge: float = 1e-6, seed: int = 11
+) -> Crf:
+    """Conditional likelihood by AdaGrad on minibatches of `batch` stretches;
+    every word of a stretch has its text's language, and `chain` stretches
+    follow one another as one text that switches."""
     languages = sorted(set(langs))
     k, size = len(languages), 4 << BITS
     if not k:
@@ -187,66 +202,69 @@ def learn(texts: list[bytes], langs: list[str], epochs: int = 3, batch: int = 64
     weight, seen = np.zeros((size, k)), np.full((size, k), 1e-8)
     first, trans = np.zeros(k), np.eye(k) * 2.0
     g_first, g_trans = np.full(k, 1e-8), np.full((k, k), 1e-8)
-    label = np.array([languages.index(x) for x in langs])
     rng = np.random.default_rng(seed)
+    pieces, label = [], []
+    for t, lang in zip(texts, langs, strict=True):
+        words, i = t.split(), 0
+        while i < len(words):
+            n = int(rng.geometric(1.0 / stretch))
+            pieces.append(b" ".join(words[i : i + n]))
+            label.append(languages.index(lang))
+            i += n
+    label = np.array(label, np.int64)
     for _ in range(epochs if k > 1 else 0):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(pieces))
         for i in range(0, len(order), batch):
             some = order[i : i + batch]
-            f = Features([texts[j] for j in some])
-            if not len(f.words):
-                continue
+            f = Features([pieces[j] for j in some])
             start = np.zeros(len(f.words), bool)
-            start[f.words.first[:-1][np.diff(f.words.first) > 0]] = True
+            start[f.words.first[:-1:chain]] = True
             gamma, starts, steps = forward_backward(f.emit(weight), start, np.exp(first), np.exp(trans))
-            truth = np.eye(k)[label[some][f.words.doc]]
+            y = label[some][f.words.doc]
             scale = 1.0 / len(f.words)
-            grad = f.back((truth - gamma) * scale, size) - ridge * weight
+            grad = f.back((np.eye(k)[y] - gamma) * scale, size) - ridge * weight
             seen += grad * grad
             weight += rate * grad / np.sqrt(seen)
-            y = label[some][f.words.doc]
+            inner = np.flatnonzero(~start[1:])
+            kept = np.bincount(y[inner] * k + y[inner + 1], minlength=k * k).reshape(k, k)
             d_first = (np.bincount(y[start], minlength=k) - starts) * scale
-            kept = np.bincount(y[1:][~start[1:]], minlength=k)
-            d_trans = (np.diag(kept) - steps) * scale
+            d_trans = (kept - steps) * scale
             g_first += d_first**2
             g_trans += d_trans**2
             first += rate * d_first / np.sqrt(g_first)
             trans += rate * d_trans / np.sqrt(g_trans)
-    # a switch keeps at least this probability: training texts rarely switch
-    trans = np.clip(np.exp(trans - trans.max(1, keepdims=True)), 2e-3, None)
-    return Crf(languages, weight.astype(np.float32), np.exp(first - first.max()) + 1e-3, trans)
+    return Crf(languages, weight.astype(np.float32), np.exp(first - first.max()), np.exp(trans - trans.max()))
 
 
-def train(docs: DataFrame, per_language: int = 400, most_words: int = 1_000, **how) -> Crf:
-    """A model from docs (doc_id, text, lang): per_language documents of each
-    language at most, most_words words of each."""
-    known = docs.filter("doc_id is not null and lang is not null and text is not null")
+def train(docs: DataFrame, per_language: int = 400, **how) -> Crf:
+    """A model from docs (doc_id, text, lang): per_language documents of each language at most."""
+    known = docs.select("doc_id", "text", "lang").filter("doc_id is not null and lang is not null and text is not null")
     # a share of each language by hash, a third more than asked for; then the least hashes
     parts, share = 1 << 19, F.lit(0)
     for r in known.groupBy("lang").count().collect():
         share = F.when(F.col("lang") == r["lang"], min(parts, -(-parts * (per_language * 4 // 3 + 20) // r["count"]))).otherwise(share)
     rows = known.withColumn("h", F.xxhash64("doc_id")).filter(F.pmod(F.col("h"), F.lit(parts)) < share)
-    words = F.slice(F.split("text", r"[\x20\x09-\x0D]+", most_words + 1), 1, most_words)
-    got = sorted(tuple(r) for r in rows.select("lang", "h", "doc_id", F.concat_ws(" ", words).alias("t")).collect())
-    kept = [x for _, mine in groupby(got, key=lambda r: r[0]) for x in list(mine)[:per_language]]
-    return learn([x[3].encode() for x in kept], [x[0] for x in kept], **how)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
+    got = rows.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("lang", "h", "doc_id", "text").collect()
+    got = sorted(tuple(r) for r in got)
+    return learn([x[3].encode() for x in got], [x[0] for x in got], **how)
 
 
 def identify(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
     """docs without the text, with lang_pred and score."""
     keep = [c for c in docs.columns if c != text_col]
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in source:
-            texts = b.column(text_col).cast(pa.binary()).to_pylist()
-            langs, scores = [], []
-            for part in batches(texts, 1 << 19):
-                x, s = sent.value.predict(texts[part])
-                langs += x
-                scores += s.tolist()
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+        for whole in source:
+            for b in slices(whole):
+                texts = b.column(text_col).cast(pa.binary()).to_pylist()
+                langs, scores = [], []
+                for part in batches(texts, 1 << 19):
+                    x, s = sent.value.predict(texts[part])
+                    langs += x
+                    scores += s.tolist()
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
         release()
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col]
@@ -255,15 +273,19 @@ def identify(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
 
 def language_of(model: Crf, spark: SparkSession):
     """A function of a text column: struct(lang_pred, score). Other columns stay in the JVM."""
-    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def of(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in it:
-            raw = [x.encode() if isinstance(x, str) else None for x in texts]
-            parts = [sent.value.predict(raw[part]) for part in batches(raw, 1 << 19)]
-            yield pd.DataFrame({"lang_pred": [x for p in parts for x in p[0]], "score": [x for p in parts for x in p[1].tolist()]})
+            langs, scores = [], []
+            for i in range(0, len(texts), 512):
+                raw = [x.encode() if isinstance(x, str) else None for x in texts.iloc[i : i + 512]]
+                for part in batches(raw, 1 << 19):
+                    x, s = sent.value.predict(raw[part])
+                    langs += x
+                    scores += s.tolist()
+            yield pd.DataFrame({"lang_pred": langs, "score": scores})
         release()
 
     return of
