@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plait.llm.common import fold, small_batches, table
+from plait.llm.common import fold, slices, table
 from plait.llm.textvec import U, Words, batches, mix
 
 #: Classes of bytes, each a feature as a share of the bytes that aren't white space.
@@ -156,18 +156,22 @@ def _texts(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, **how) -> Trees:
     """Trees grown on at most `sample` rows of labels (doc_id, y) joined to docs (doc_id, text)."""
-    small_batches(docs.sparkSession)
     some = labels.filter("doc_id is not null and y is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(some.select(F.col("doc_id").alias("__id"), "y")), F.col("doc_id") == F.col("__id"))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in source:
-            texts = _texts(b, "text")
-            for part in batches(texts):
-                x = statistics(texts[part])
-                yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), b.column("y").slice(part.start, part.stop - part.start)], ["x", "y"])
-
-    got = rows.select("doc_id", "text", F.col("y").cast("double").alias("y")).mapInArrow(run, "x array<double>, y double").collect()
+        for whole in source:
+            for b in slices(whole):
+                texts = _texts(b, "text")
+                for part in batches(texts):
+                    n = part.stop - part.start
+                    x = statistics(texts[part])
+                    cols = [b.column("doc_id").slice(part.start, n), pa.array(x.tolist(), pa.list_(pa.float64())), b.column("y").slice(part.start, n)]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "x", "y"])
+
+    got = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("y").cast("double").alias("y")).mapInArrow(run, "doc_id bigint, x array<double>, y double")
+    # rows that repeat a doc_id count towards the bound too
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "x", "y").limit(sample).collect()
     got.sort(key=lambda r: (r["x"], r["y"]))
     x = np.array([r["x"] for r in got], float).reshape(len(got), len(FEATURES))
     return grow(x, np.array([r["y"] for r in got], float), **how)
@@ -176,13 +180,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, **how) -> Tr
 def score(docs: DataFrame, model: Trees, text_col: str = "text", name: str = "score") -> DataFrame:
     """docs without the text, and the score of each."""
     keep = [c for c in docs.columns if c != text_col]
-    small_batches(docs.sparkSession)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in source:
-            texts = _texts(b, text_col)
-            got = [model.score(statistics(texts[part])) for part in batches(texts)]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(np.concatenate(got) if got else [], pa.float64())], [*keep, name])
+        for whole in source:
+            for b in slices(whole):
+                texts = _texts(b, text_col)
+                got = [model.score(statistics(texts[part])) for part in batches(texts)]
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(np.concatenate(got) if got else [], pa.float64())], [*keep, name])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col]
     return docs.mapInArrow(run, ", ".join([*fields, f"`{name}` double"]))
