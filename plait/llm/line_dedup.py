@@ -129,7 +129,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     gone = materialize(repeated_lines(src, min_words), "gone")
     rows = df.select(F.struct("*").alias("__row"), F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_hash"))
-    out = _join(rows, gone.hint("shuffle_hash"), how="left")
+    out = _join(rows, gone, how="left")
     text = F.col(f"__row.`{text_col}`")
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
     cut = F.when(F.col("gone").isNull(), text).when(F.size("gone") == F.size(_lines(text)), "").otherwise(kept)
