@@ -1,79 +1,5 @@
-"""A training-data pipeline over the table documents, in five stages.
+"""The training-data pipeline over the table documents; its stages are in plait.llm.pipeline."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
-last return the columns of docs. run() writes each stage's result to the shared
-folder as Parquet and reads it back for the next, so a lost executor costs the
-current stage's lost tasks only.
-"""
+from plait.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from plait.llm import decontaminate, jaccard_join, language_id, line_dedup, piece_sampler
-from plait.llm.common import fold, fresh, materialize, table
-
-#: A document goes if less than this share of its letters is in its best language.
-LEAST_LANGUAGE = 0.4
-
-
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4. Documents without a language (null text, no letter) or of no
-    clear one go; a null lang is filled with the one found."""
-    model = language_id.train(docs.filter(fold(F.col("doc_id"), 3) != 1))
-    name = fresh(docs, "__l")
-    got = docs.withColumn(name, language_id.language_of(model, spark)("text"))
-    kept = got.filter((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= LEAST_LANGUAGE))
-    return kept.withColumn("lang", F.coalesce("lang", f"{name}.lang_pred")).select(*docs.columns)
-
-
-def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8. Later copies of repeated runs of lines go from the texts;
-    n_chars follows; a document that loses all its lines goes."""
-    got = line_dedup.dedup_lines(docs)
-    kept = got.filter((F.col("__n_removed") == 0) | (F.col("__n_removed") < F.col("__n_lines")))
-    return kept.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
-
-
-def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2. Of each group of linked documents the one of the least
-    doc_id stays. Rows that repeat a doc_id are one document, of which one row
-    stays; rows without a doc_id are kept as they are and not compared."""
-    named = docs.filter("doc_id is not null")
-    groups = jaccard_join.jaccard_join(named)
-    kept = materialize(groups.filter("doc_id = component_id").select("doc_id").distinct(), "kept")
-    once = Window.partitionBy("doc_id").orderBy("doc_id")
-    row = fresh(docs, "__r")
-    first = named.join(kept, "doc_id", "left_semi").withColumn(row, F.row_number().over(once)).filter(F.col(row) == 1)
-    return first.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
-
-
-def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6. Documents that hold a test item go."""
-    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
-
-
-def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1. Two sampled segmentations of each document, with their ids."""
-    return piece_sampler.encode(docs, k=2, with_ids=True)
-
-
-STAGES = [
-    ("language_id", language_stage),
-    ("line_dedup", line_stage),
-    ("jaccard_join", duplicate_stage),
-    ("decontaminate", leak_stage),
-    ("piece_sampler", encode_stage),
-]
-
-#: No stage but the second is within SQL's reach; tests hold each against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the last stage over documents."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

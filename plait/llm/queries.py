@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from plait.llm import decontaminate, html_extract, jaccard_join, language_id, line_dedup, piece_sampler, quality_model, quality_rules, secret_scan, url_filter
+from plait.llm import decontaminate, html_extract, jaccard_join, language_id, line_dedup, piece_sampler, pipeline, quality_model, quality_rules, secret_scan, url_filter
 
 
 def queries() -> dict:
@@ -18,7 +17,7 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.query,
         "op9_quality_rules": quality_rules.query,
         "op10_quality_model": quality_model.query,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
