@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from plait.llm import html_extract, jaccard_join, language_id, line_dedup, piece_sampler, quality_model, queries, url_filter
+from plait.llm import decontaminate, html_extract, jaccard_join, language_id, line_dedup, piece_sampler, quality_model, queries, url_filter
 from plait.llm.common import fold
 from plait.llm.textvec import Words, grams, shingle_sets
 
@@ -82,6 +82,37 @@ def test_jaccard_join_of_a_large_family(spark):
     for i in range(400, 460):  # only the passage is shared
         rows.append((i, " ".join([f"u{i}_{j}" for j in range(60)] + base[:30])))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = components_by_brute_force(rows)
+    for most in (1 << 22, 500):  # in one go, and by Voronoi regions cut again
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(df, most_pairs=most).collect()}
+        assert got == want
+
+
+def test_jaccard_join_of_a_cloud_near_the_radius(spark):
+    """Members around several centres, at and about the radius: regions, windows and recursion lose no link."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(240):
+        w = [f"c{i % 3}_{j}" for j in range(60)]
+        for j in rng.choice(60, int(rng.integers(1, 4)), replace=False):
+            w[j] = f"z{rng.integers(0, 40)}"
+        rows.append((i, " ".join(w)))
+    want = components_by_brute_force(rows)
+    assert 3 < len({c for _, c in want.values()}) < 240
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for most in (1 << 22, 300):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(df, most_pairs=most).collect()}
+        assert got == want
+
+
+def test_jaccard_join_of_a_passage_in_very_many(spark, monkeypatch):
+    """A shingle of many sets of a block isn't counted; its sets still link."""
+    monkeypatch.setattr(jaccard_join, "_HOT", 8)
+    monkeypatch.setattr(jaccard_join, "_ROWS", 64)
+    head = " ".join(f"h{j}" for j in range(40))
+    rows = [(i, f"{head} " + " ".join(f"own{i // 2}_{j}" for j in range(12 + i % 5)) + (" end" if i % 2 else "")) for i in range(200)]
+    rows += [(500 + i, head + f" tail {i % 3}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(df).collect()}
     assert got == components_by_brute_force(rows)
 
@@ -119,18 +150,42 @@ def test_line_dedup_counts_words_and_not_spaces(spark):
 
 def test_decontamination(spark, docs):
     got = {(r.doc_id, r.item_id) for r in queries.queries()["op6_decontaminate"](spark, SF).collect()}
+    assert got == leaks_by_brute_force(read("benchmark"), docs) != set()
+
+
+def leaks_by_brute_force(items, docs):
     want = set()
-    for item in read("benchmark"):
-        mine = shingles(item["text"].lower())
-        for r in docs:
-            if len(mine & shingles(r["text"].lower())) >= 0.8 * len(mine):
-                want.add((r["doc_id"], item["item_id"]))
-    assert want and got == want
+    for item in items:
+        units = [item["text"], *[x for x in decontaminate.split_item(item["text"]) if len(x.split()) >= 13]]
+        for mine in [shingles(x.lower()) for x in units]:
+            for r in docs:
+                if len(mine & shingles(r["text"].lower())) >= 0.8 * len(mine):
+                    want.add((r["doc_id"], item["item_id"]))
+    return want
+
+
+def test_decontamination_of_halves(spark, monkeypatch):
+    """A whole question, or a whole answer, is a leak; a short half is not. Bounds are summed in many parts."""
+    monkeypatch.setattr(decontaminate, "_HITS", 40)
+    words = [f"w{i}" for i in range(400)]
+    rng = np.random.default_rng(4)
+    say = lambda n: " ".join(rng.choice(words, n))
+    items = [{"item_id": i, "text": f"{say(20 + i % 9)}?\n{say(3 + i % 30)}"} for i in range(60)]
+    docs = []
+    for i, x in enumerate(items):
+        q, a = x["text"].split("\n")
+        for part in (q, a, x["text"], q[: len(q) // 2]):
+            docs.append({"doc_id": len(docs), "text": f"{say(i)} {part} {say(7)}\n{say(2 * i)}"})
+    make = lambda rows, ddl: spark.createDataFrame([tuple(r.values()) for r in rows], ddl)
+    got = decontaminate.find_leaks(make(docs, "doc_id bigint, text string"), make(items, "item_id bigint, text string"), shard=25)
+    want = leaks_by_brute_force(items, docs)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and {(4 * i, i) for i in range(60)} <= want
+    assert (1, 0) not in want and (4 * 25 + 1, 25) in want
 
 
 def test_sampler_is_exact_and_seeded_by_key(spark):
     rows = piece_sampler.encode(spark.read.parquet(f"{SF}/documents.parquet"), k=3).collect()
-    again = piece_sampler.encode(spark.read.parquet(f"{SF}/documents.parquet").repartition(3, "source"), k=3, with_ids=False).collect()
+    again = piece_sampler.encode(spark.read.parquet(f"{SF}/documents.parquet").repartition(3, "source"), k=3).collect()
     assert {(r.doc_id, r["rank"], r.ids_hash) for r in rows} == {(r.doc_id, r["rank"], r.ids_hash) for r in again}
     import sentencepiece
 
@@ -148,7 +203,7 @@ def test_sampler_is_exact_and_seeded_by_key(spark):
 def test_sampler_draws_without_replacement_by_probability():
     with open(piece_sampler.MODEL, "rb") as f:
         pieces = piece_sampler.Pieces(f.read(), temperature=4.0)
-    lat = piece_sampler.Lattice(["▁then"], pieces)
+    lat = piece_sampler.Lattice([" then"], pieces)
 
     def paths(s, p=0.0, ids=()):
         if s == 5:
@@ -161,9 +216,11 @@ def test_sampler_draws_without_replacement_by_probability():
     assert abs(sum(prob.values()) - 1) < 1e-9
     n = 6000
     first, second, mass = Counter(), Counter(), Counter()
-    for _, rank, ids, logp, _, inclusion in piece_sampler.sample(["then"] * n, list(range(n)), pieces, 2):
-        (first if rank == 1 else second)[tuple(ids.tolist())] += 1
-        mass[tuple(ids.tolist())] += math.exp(logp) / inclusion / n
+    got = piece_sampler.sample(["then"] * n, list(range(n)), piece_sampler.Lattices(pieces), 2)
+    for i, (rank, logp, inclusion) in enumerate(zip(got.rank, got.log_prob, got.inclusion, strict=True)):
+        ids = tuple(got.ids[got.at[i] : got.at[i + 1]].tolist())
+        (first if rank == 1 else second)[ids] += 1
+        mass[ids] += math.exp(logp) / inclusion / n
     for x, p in prob.items():
         q = sum(prob[a] * p / (1 - prob[a]) for a in prob if a != x)
         assert abs(first[x] / n - p) < 5 * math.sqrt(p / n) + 1e-3
@@ -171,6 +228,44 @@ def test_sampler_draws_without_replacement_by_probability():
         assert abs(mass[x] - p) < 0.05  # the inclusion scores weigh each path to its probability
 
 
+def test_sampler_finds_all_paths_of_short_texts_in_the_order_of_their_scores():
+    """With k beyond the number of segmentations, all come, each once, with the lattice's probabilities."""
+    with open(piece_sampler.MODEL, "rb") as f:
+        pieces = piece_sampler.Pieces(f.read(), temperature=3.0)
+    lattices = piece_sampler.Lattices(pieces, kept=4)
+
+    def paths(text, at=0):
+        if at == len(text):
+            yield ()
+        for n in range(1, len(text) - at + 1):
+            if text[at : at + n] in known:
+                yield from ((known[text[at : at + n]], *rest) for rest in paths(text, at + n))
+
+    known = {p.decode(): i for i, p in enumerate(pieces.text) if p and i > 258}
+    for text in ("tea", "a b", "of it"):
+        got = piece_sampler.sample([text, "", text], [1, 2, 3], lattices, 400)
+        for i in (0, 2):
+            rows = np.flatnonzero(got.text == i)
+            found = {tuple(got.ids[got.at[r] : got.at[r + 1]].tolist()) for r in rows}
+            assert len(found) == len(rows) and found == set(paths(" " + text))
+            assert math.isclose(np.exp(got.log_prob[rows]).sum(), 1.0, rel_tol=1e-9) and (got.inclusion[rows] == 1).all()
+            order = rows[np.argsort(got.rank[rows])]
+            assert (np.diff(got.perturbed[order]) <= 0).all()
+        assert (got.text == 1).sum() == 1
+
+
+def test_sampler_round_trips_any_text(spark):
+    texts = ["a▁b", "▁lead", "▁", " ", "  two  ", "\n\n x\ty\r\n", "漢字 かな 😀 \x00 é", "x" * 5000, "▁▁ mixed ▁ up", "tab\t▁\n▁"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = piece_sampler.decode(piece_sampler.encode(df, k=3), name="back").collect()
+    assert {r.doc_id for r in got} == set(range(len(texts)))
+    assert all(r.exact and r.back == texts[r.doc_id] for r in got)
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_sampler.MODEL)
+    assert all(sp.decode(r.ids) == texts[r.doc_id] for r in got)
+
+
 def test_html_of_the_pages():
     for r in read("pages"):
         article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
@@ -217,6 +312,36 @@ def test_html_roles():
     assert [b[0] for b in html_extract.parse(page)[0] if b[1]] == ["Title", "One two three & four"]
 
 
+def test_html_names_that_are_no_furniture():
+    """Words of a class in an article name furniture only if they say nothing else."""
+    kept = ["search-note", "share-price", "related-work", "hidden-gems intro", "notice-of-motion", "ads1-text-body"]
+    gone = ["ad", "comment-list", "cookie-notice", "share-buttons", "lead promo", "newsletter-signup box"]
+    page = "<article>" + "".join(f"<{t} class='{c}'>{t} {c}</{t}>" for c in kept + gone for t in ("p", "div")) + "</article>"
+    assert [b[0] for b in html_extract.parse(page)[0]] == [f"{t} {c}" for c in kept for t in ("p", "div")]
+
+
+def test_template_counts_against_brute_force(spark):
+    """Whole pages, by subtrees counted in Python: a div's hash is its tag, attributes and text here."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(120):
+        host = f"h{i % 3}.test"
+        own = [f"<div>Own words {i} {j} that no other page has, at some length</div>" for j in range(3)]
+        shared = [f"<div>Shared {j}</div>" for j in range(8) if rng.random() < j / 8]
+        blocks = own + shared
+        rng.shuffle(blocks)
+        rows.append((i, f"http://{host}/{i}", "".join(blocks)))
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    count = defaultdict(Counter)
+    for _, url, page in rows:
+        count[url.split("/")[2]].update(set(re.findall("<div>(.*?)</div>", page)))
+    want = {}
+    for i, url, page in rows:
+        n = count[url.split("/")[2]]
+        want[i] = "\n\n".join(x for x in re.findall("<div>(.*?)</div>", page) if n[x] < max(8, min(0.3 * 40, 30)))
+    assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == want and any("Shared" in x for x in want.values())
+
+
 def test_url_rules_and_words(spark):
     cases = {
         "http://x.example.com/en/75": ("com/en/", "allow", "example.com/en/7"),
@@ -268,6 +393,27 @@ def test_forward_backward_against_all_paths():
     assert np.allclose(got, want / total) and math.isclose(starts.sum(), 2) and math.isclose(steps.sum(), 5)
 
 
+def test_words_of_switched_texts_and_letters():
+    """Word by word in texts that switch; letters are those of Unicode."""
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist()
+    rows = [r for r in rows if r["lang"] and r["text"] and len(r["text"].split()) > 30]
+    taught = [r for r in rows if r["doc_id"] % 2]
+    model = language_id.learn([r["text"].encode() for r in taught], [r["lang"] for r in taught])
+    off = model.trans / model.trans.sum(1, keepdims=True)
+    assert (np.diag(off) > 0.5).all() and (off > 1e-4).all()
+    rng, right, total = np.random.default_rng(6), 0, 0
+    other = [r for r in rows if not r["doc_id"] % 2]
+    for _ in range(60):
+        some = [other[i] for i in rng.integers(0, len(other), 4)]
+        parts = [r["text"].split()[: int(rng.integers(8, 30))] for r in some]
+        _, gamma = model.marginals([" ".join(sum(parts, [])).encode()])
+        truth = [model.languages.index(r["lang"]) for r, p in zip(some, parts, strict=True) for _ in p]
+        right, total = right + int((gamma.argmax(1) == truth).sum()), total + len(truth)
+    assert right / total > 0.9
+    langs, score = model.predict([x.encode() for x in ("µ", "ª", "—", "😀 – 12", "é", "漢", "")] + [None])
+    assert [x != "und" for x in langs] == [True, True, False, False, True, True, False, False] and (score[[2, 3, 6, 7]] == 0).all()
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
