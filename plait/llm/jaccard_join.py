@@ -63,7 +63,7 @@ _FLUSH, _ROWS = 2_000_000, 16_384
 _WEIGHT = 65_536
 _RANGE = 24 << 20
 #: A shingle of so many sets of one block isn't counted, and comes last in the order.
-_HOT, _LAST = 256, 1 << 30
+_HOT = 256
 #: Sets that a task remembers, so as not to send their copies.
 _SEEN = 1 << 20
 _DOCS = [("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("text_hash", pa.int64())]
@@ -170,12 +170,16 @@ def _pack(parts: int, k: int):
     return run
 
 
-def _shared(node: np.ndarray, full: np.ndarray, df: np.ndarray) -> pa.Table:
-    """Rows of sets (node, in order) and their shared shingles."""
+def _shared(node: np.ndarray, full: np.ndarray, df: np.ndarray | None) -> pa.Table:
+    """Rows of sets (node) and their shared shingles; hot ones have no df."""
+    order = np.lexsort((full, node))
+    node, full = node[order], full[order]
     at, _ = _runs(node)
     offsets = pa.array(np.concatenate([at, [len(node)]]).astype(np.int32))
-    cols = {"kind": pa.array(["shared"] * len(at)), "h1": pa.array(node[at])}
-    cols |= {"ids": pa.ListArray.from_arrays(offsets, pa.array(full.view(np.int64))), "dfs": pa.ListArray.from_arrays(offsets, pa.array(df.astype(np.int32)))}
+    cols = {"kind": pa.array(["hot" if df is None else "shared"] * len(at)), "h1": pa.array(node[at])}
+    cols["ids"] = pa.ListArray.from_arrays(offsets, pa.array(full.view(np.int64)))
+    if df is not None:
+        cols["dfs"] = pa.ListArray.from_arrays(offsets, pa.array(df[order].astype(np.int32)))
     return pa.Table.from_arrays([cols.get(f.name, pa.nulls(len(at), f.type)) for f in _COUNTED], schema=_COUNTED)
 
 
@@ -199,9 +203,8 @@ def _count(parts: int):
                 cols = {"kind": pa.array(["doc"] * size), **docs}
                 made.append(pa.Table.from_arrays([cols.get(f.name, pa.nulls(size, f.type)) for f in _COUNTED], schema=_COUNTED))
                 node, h = np.frombuffer(col["hot_node"][i].as_buffer(), np.int64), np.frombuffer(col["hot_id"][i].as_buffer(), U)
-                order = np.lexsort((h, node))
-                if len(order):
-                    made.append(_shared(node[order], h[order], np.full(len(h), _LAST)))
+                if len(h):
+                    made.append(_shared(node, h, None))
         if entries:
             f, node, hot = np.concatenate(entries), np.concatenate(nodes), np.unique(np.concatenate(hots))
             del entries, nodes, hots
@@ -220,14 +223,14 @@ def _count(parts: int):
             new = np.concatenate([[True], (f[1:] != f[:-1]) | (node[1:] != node[:-1])]) if len(f) else np.zeros(0, bool)  # copies from other blocks go
             f, node = f[new], node[new]
             at, count = _runs(f)
+            is_hot = np.zeros(len(at), bool)
             if len(hot) and len(at):
-                count = np.where(hot[np.minimum(np.searchsorted(hot, f[at]), len(hot) - 1)] == f[at], _LAST, count)
-            df = np.repeat(count, np.diff(np.concatenate([at, [len(f)]])))
-            f, node, df = f[df > 1], node[df > 1], df[df > 1]
-            if len(f):
-                order = np.lexsort((f, node))
-                f, node, df = f[order], node[order], df[order]
-                made.append(_shared(node, _named(f, bucket), df))
+                is_hot = hot[np.minimum(np.searchsorted(hot, f[at]), len(hot) - 1)] == f[at]
+            df, is_hot = np.repeat(count, count), np.repeat(is_hot, count)
+            name = _named(f, bucket)
+            for some in ((df > 1) & ~is_hot, is_hot):
+                if some.any():
+                    made.append(_shared(node[some], name[some], None if some is is_hot else df[some]))
         release()
         return pa.concat_tables(made) if made else _COUNTED.empty_table()
 
@@ -427,12 +430,16 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     packed = src.mapInArrow(_pack(parts, k), _SCHEMA)
     got = materialize(packed.groupBy("bucket").applyInArrow(_count(parts), _OUT), "shingles", "kind")
     docs = got.filter("kind = 'doc'").select("doc_id", "n", "h1", "h2", "text_hash")
-    # the size of a set comes from its documents; hot shingles may come once from each task
-    sizes = docs.filter("n > 0").select("h1", "n", F.lit(None).cast("array<struct<df:int,id:bigint>>").alias("x"))
-    parted = got.filter("kind = 'shared'").select("h1", F.lit(None).cast("bigint").alias("n"), F.zip_with("dfs", "ids", lambda a, b: F.struct(a.alias("df"), b.alias("id"))).alias("x"))
-    sets = sizes.unionByName(parted).groupBy("h1").agg(F.max("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("x")))).alias("x"))
-    sets = sets.filter((F.col("n") - F.size("x")) * den <= F.col("n") * (den - num))
-    sets = materialize(sets.select(F.col("h1").alias("node"), "n", F.col("x.id").alias("ids")), "sets")
+    # the size of a set comes from its documents; hot shingles may come again from each task
+    of = lambda kind, c: F.collect_list(F.when(F.col("kind") == kind, F.col(c)))
+    sets = got.filter("h1 is not null and (n is null or n > 0)").groupBy("h1").agg(
+        F.max("n").alias("n"), F.flatten(of("shared", "ids")).alias("ids"), F.flatten(of("shared", "dfs")).alias("dfs"), of("hot", "ids").alias("hot")
+    )
+    sets = sets.withColumn("hot", F.array_distinct(F.flatten("hot")))
+    sets = sets.filter((F.col("n") - F.size("ids") - F.size("hot")) * den <= F.col("n") * (den - num))
+    # rarest first, the hot ones last
+    rare = F.transform(F.array_sort(F.arrays_zip("dfs", "ids")), lambda x: x["ids"])
+    sets = materialize(sets.select(F.col("h1").alias("node"), "n", F.concat(rare, F.array_sort("hot")).alias("ids")), "sets")
     roots, edges = _links(sets, num, den, most_pairs)
     upper = components(edges)
     discard(sets)
