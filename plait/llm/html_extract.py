@@ -22,7 +22,9 @@ In either case `least` pages are needed.
 Scale: a host may hold a third of all pages; its subtrees are counted by (host,
 hash) with partial aggregation, and the templates found are joined to the
 subtrees of each page, so no task gathers those of a host. Counts and joins see
-hashes and spans only; the texts move once, to meet their page's spans.
+hashes and spans only. A Bloom filter of fixed size tells pages that hold no
+template; the texts of the others move once, to meet their page's spans. A
+fuller filter, of more templates, moves more texts and changes nothing else.
 
 Defined edge cases: null or empty html and pages without text give an empty
 text; a null url has an empty host, and such pages form one host; unclosed or
@@ -36,6 +38,8 @@ import html as htmllib
 import re
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -262,6 +266,31 @@ def site_templates(parsed: DataFrame, share: float, main_share: float, least: in
     return out
 
 
+#: Bits of the filter of templates, and of one of Spark's bitmaps.
+_FILTER, _BITMAP = 1 << 26, 1 << 15
+
+
+def _may_hold(rules: DataFrame):
+    """A function of an array of places in the filter: whether one of them is a template's."""
+    place = F.pmod(F.xxhash64("host", "h"), F.lit(_FILTER))
+    maps = rules.select(place.alias("p")).groupBy(F.floor(F.col("p") / _BITMAP).cast("int").alias("b")).agg(F.bitmap_construct_agg(F.col("p") % _BITMAP).alias("m"))
+    bits = np.zeros(_FILTER // 8, np.uint8)
+    for r in maps.collect():
+        bits[r["b"] * _BITMAP // 8 : (r["b"] + 1) * _BITMAP // 8] = np.frombuffer(r["m"], np.uint8)
+    sent = rules.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def may_hold(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in it:
+            count = np.fromiter(map(len, rows), np.int64, len(rows))
+            at = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
+            hits = np.concatenate([[0], np.cumsum(sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)])
+            end = np.cumsum(count)
+            yield pd.Series(hits[end] > hits[end - count])
+
+    return may_hold
+
+
 def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", share: float = 0.3, main_share: float = 0.9, least: int = 8, many: int = 30) -> DataFrame:
     """df's columns but the html (and any text), then text: its blocks joined by an empty line."""
     host = F.xxhash64(F.coalesce(split_url(F.col(url_col))[0], F.lit("")))
@@ -272,11 +301,15 @@ def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", share:
     met = parsed.filter("size(blocks) > 0").select("uid", "host", "has_main", F.explode("subtrees").alias("s")).filter("s.hi > s.lo")
     met = met.select("uid", "host", "has_main", F.col("s.h").alias("h"), "s.lo", "s.hi").join(rules, ["host", "h"])
     met = met.filter(F.when(F.col("has_main"), F.col("strict")).otherwise(F.col("loose"))).groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    joined = parsed.select("uid", "row", "blocks").join(met, "uid", "left")
+    held = F.filter("subtrees", lambda s: s["hi"] > s["lo"])
+    places = F.transform(held, lambda s: F.pmod(F.xxhash64("host", s["h"]), F.lit(_FILTER)))
+    told = parsed.select("uid", "row", "blocks", _may_hold(rules)(places).alias("may"))
+    joined = told.filter("may").join(met, "uid", "left")
     kept = F.when(F.col("spans").isNull(), F.col("blocks")).otherwise(
         F.filter("blocks", lambda _, i: ~F.exists("spans", lambda s: (s["lo"] <= i) & (i < s["hi"])))
     )
-    return joined.select("row.*", F.array_join(kept, "\n\n").alias("text"))
+    cleaned = joined.select("row.*", F.array_join(kept, "\n\n").alias("text"))
+    return cleaned.unionByName(told.filter("not may").select("row.*", F.array_join("blocks", "\n\n").alias("text")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
