@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -155,8 +156,8 @@ class Index:
                 here = here[(here >= first) & (here < stop)]
                 cell = np.unique(np.concatenate([cell, (here[:, None] * self.n_blocks + self.always).ravel()]))
             window, blocks = cell // self.n_blocks, cell % self.n_blocks
-            edge = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]])) if len(window) else []
-            for a, z in zip(edge, [*edge[1:], len(window)], strict=True):
+            edge = [*np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]])), len(window)] if len(window) else []
+            for a, z in pairwise(edge):
                 yield int(window[a]), blocks[a:z]
             i, done = int(np.searchsorted(stride, stop)), stop
 
