@@ -39,6 +39,11 @@ def microsecond(ts: Any) -> Column:
     return F.pmod(micros(ts), F.lit(1_000)).cast("int")
 
 
+def nanosecond(ts: Any) -> Column:
+    """Of the microsecond: timestamps have none."""
+    return F.when(col(ts).isNotNull(), F.lit(0))
+
+
 def ticks(ts: Any) -> Column:
     return micros(ts) * 10 + EPOCH_TICKS
 
@@ -90,6 +95,15 @@ def span_part(us: Any, unit: str) -> Column:
     return whole if within is None else whole % within
 
 
+def negate(us: Any) -> Column:
+    return -col(us)
+
+
+def duration(us: Any) -> Column:
+    """A span without its sign."""
+    return F.abs(col(us))
+
+
 def span_total(us: Any, unit: str) -> Column:
     return col(us) / F.lit(float(MICROS[unit]))
 
@@ -135,7 +149,11 @@ def modify(when: Any, *modifiers: str) -> Column:
         elif got := re.fullmatch(r"weekday\s+([0-6])", m):
             ahead = F.pmod(F.lit(int(got[1])) - day_of_week(ts), F.lit(7))
             ts = add(ts, "days", ahead)
-        elif m in ("utc", "localtime", "auto", "subsec"):
+        elif m == "localtime":
+            ts = F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts)
+        elif m == "utc":
+            ts = F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts)
+        elif m in ("auto", "subsec"):
             continue
         else:
             raise ValueError(f"unknown modifier {m!r}")
@@ -164,6 +182,9 @@ def unix_epoch(when: Any, *modifiers: str) -> Column:
 
 def strftime(fmt: str, when: Any, *modifiers: str) -> Column:
     ts = modify(when, *modifiers)
+    two = lambda n: F.lpad(F.floor(n).cast("string"), 2, "0")
+    # a week belongs to the year of its Thursday
+    iso_year = lambda: F.year(F.date_add(ts.cast("date"), 3 - F.pmod(day_of_week(ts) + 6, F.lit(7))))
     special = {
         "j": lambda: F.lpad(F.dayofyear(ts).cast("string"), 3, "0"),
         "w": lambda: day_of_week(ts).cast("string"),
@@ -174,7 +195,14 @@ def strftime(fmt: str, when: Any, *modifiers: str) -> Column:
         "e": lambda: F.lpad(F.dayofmonth(ts).cast("string"), 2, " "),
         "k": lambda: F.lpad(F.hour(ts).cast("string"), 2, " "),
         "I": lambda: F.lpad((F.pmod(F.hour(ts) + 11, F.lit(12)) + 1).cast("string"), 2, "0"),
+        "l": lambda: F.lpad((F.pmod(F.hour(ts) + 11, F.lit(12)) + 1).cast("string"), 2, " "),
         "p": lambda: F.when(F.hour(ts) < 12, "AM").otherwise("PM"),
+        "P": lambda: F.when(F.hour(ts) < 12, "am").otherwise("pm"),
+        "W": lambda: two((F.dayofyear(ts) + 6 - F.pmod(day_of_week(ts) + 6, F.lit(7))) / 7),
+        "U": lambda: two((F.dayofyear(ts) + 6 - day_of_week(ts)) / 7),
+        "V": lambda: two(F.weekofyear(ts)),
+        "G": lambda: iso_year().cast("string"),
+        "g": lambda: two(F.pmod(iso_year(), F.lit(100))),
         "%": lambda: F.lit("%"),
     }
     parts = []

@@ -188,10 +188,21 @@ def count_distinct(x: Column) -> Column:
     return F.count_distinct(x) + F.max(F.when(x.isNull(), 1).otherwise(0))
 
 
-def string_join(x: Column, sep: str, order: Column | None = None) -> Column:
-    """Values joined in an order (given, or by value); a null is ''; no rows give ''."""
+def string_join(x: Column, sep: str, order: Column | tuple | None = None) -> Column:
+    """Values joined in an order (given, or by value); a null is ''; no rows give ''.
+    order: a column, or keys as (column, descending, nulls first or None) in turn."""
     value = F.coalesce(x.cast("string"), F.lit(""))
-    if order is None:
+    if order is None or isinstance(order, tuple) and not order:
         return F.coalesce(F.array_join(F.sort_array(F.collect_list(value)), sep), F.lit(""))
-    rows = F.sort_array(F.collect_list(F.struct(order.alias("k"), value.alias("v"))))
+    keys = [(order, False, None)] if isinstance(order, Column) else list(order)
+
+    def compare(a: Column, b: Column) -> Column:
+        out = F.when(a["v"] < b["v"], -1).when(a["v"] > b["v"], 1).otherwise(0)
+        for i, (_, down, nulls) in reversed(list(enumerate(keys))):
+            p, q, null = a[f"k{i}"], b[f"k{i}"], -1 if (nulls or ("last" if down else "first")) == "first" else 1
+            less = 1 if down else -1
+            out = F.when(p.eqNullSafe(q), out).when(p.isNull(), null).when(q.isNull(), -null).when(p < q, less).otherwise(-less)
+        return out
+
+    rows = F.array_sort(F.collect_list(F.struct(*[k.alias(f"k{i}") for i, (k, _, _) in enumerate(keys)], value.alias("v"))), compare)
     return F.coalesce(F.array_join(F.transform(rows, lambda r: r["v"]), sep), F.lit(""))

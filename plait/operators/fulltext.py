@@ -1,8 +1,8 @@
 """Full-text search over token arrays: one scan, all predicates native.
 
 A query text has terms, "phrases", prefix*, AND, OR, NOT (binary), NEAR(a b, n),
-column : filters and parentheses; a blank between terms is AND. A query may also
-be built from Term, Phrase, Prefix, Near and the operators & | and ~ (and not).
+column : and -column : filters, ^first, one + two (a phrase) and parentheses; a
+blank between terms is AND. A query may also be built from Term, Phrase, Prefix, Near and the operators & | and ~ (and not).
 """
 
 from __future__ import annotations
@@ -165,7 +165,8 @@ class Node:
     prefix: bool = False
     parts: tuple = ()
     distance: int = 10
-    columns: tuple[str, ...] = ()
+    columns: tuple[str, ...] = ()  # with a leading -, those left out
+    start: bool = False  # at a column's first token alone
 
     def __and__(self, o: Node) -> Node:
         return Node("not", parts=(self, o.parts[0])) if o.kind == "!" else Node("and", parts=(self, o))
@@ -199,7 +200,7 @@ def In(columns: str | tuple[str, ...], node: Node) -> Node:  # noqa: N802
     return replace(node, columns=cols, parts=tuple(In(cols, p) for p in node.parts))
 
 
-_LEX = re.compile(r'\s*(?:"((?:[^"]|"")*)"|(\{[^}]*\}|[\w]+)\s*:|([()])|([^\s()":*]+)|(\*)|(,))')
+_LEX = re.compile(r'\s*(?:"((?:[^"]|"")*)"|(-?\s*(?:\{[^}]*\}|\w+))\s*:|([()])|([^\s()":*^+]+)|(\*)|(,)|([\^+]))')
 
 
 def parse(text: str) -> Node:
@@ -210,7 +211,7 @@ def parse(text: str) -> Node:
         m = _LEX.match(text, at)
         if not m:
             raise ValueError(f"syntax error near {text[at:]!r}")
-        kinds = ("string", "column", "paren", "word", "star", "comma")
+        kinds = ("string", "column", "paren", "word", "star", "comma", "mark")
         i = next(i for i, g in enumerate(m.groups()) if g is not None)
         toks.append((kinds[i], m.group(i + 1)))
         at = m.end()
@@ -236,7 +237,7 @@ def parse(text: str) -> Node:
 
     def both() -> Node:
         node = less()
-        while peek() == ("word", "AND") or peek()[0] in ("string", "column", "word") and peek() not in (("word", "OR"), ("word", "NOT")) or peek() == ("paren", "("):
+        while peek() == ("word", "AND") or peek()[0] in ("string", "column", "word", "mark") and peek() not in (("word", "OR"), ("word", "NOT")) or peek() == ("paren", "("):
             if peek() == ("word", "AND"):
                 take("word")
             node = node & less()
@@ -253,7 +254,11 @@ def parse(text: str) -> Node:
         k, v = peek()
         if k == "column":
             take("column")
-            return In(tuple(v.strip("{} ").split()), one())
+            minus = "-" if v.startswith("-") else ""
+            return In(tuple(minus + x for x in v.lstrip("-").strip("{} ").split()), one())
+        if (k, v) == ("mark", "^"):
+            take("mark")
+            return replace(one(), start=True)
         if (k, v) == ("paren", "("):
             take("paren")
             node = either()
@@ -276,11 +281,15 @@ def parse(text: str) -> Node:
                 n = int(take("word").strip(", "))
             take("paren", ")")
             return Node("near", parts=tuple(parts), distance=n)
-        w = take(k if k in ("string", "word") else "word").replace('""', '"')
+        ws = [take(k if k in ("string", "word") else "word").replace('""', '"')]
+        while peek() == ("mark", "+"):
+            take("mark")
+            k = peek()[0]
+            ws.append(take(k if k in ("string", "word") else "word").replace('""', '"'))
         if peek()[0] == "star":
             take("star")
-            return Prefix(w)
-        return Term(w)
+            return Node("phrase", tuple(ws), True)
+        return Node("phrase", tuple(ws))
 
     node = either()
     if pos < len(toks):
@@ -303,6 +312,11 @@ class Index:
     def _phrase(self, node: Node) -> list[str]:
         return [t for x in node.tokens for t in self.tokenizer.one(x)]
 
+    def _in(self, node: Node) -> list[str]:
+        """The columns that a node looks at."""
+        out = [c[1:].strip() for c in node.columns if c.startswith("-")]
+        return [c for c in self.columns if c not in out] if out else list(node.columns or self.columns)
+
     def _starts(self, node: Node, c: str) -> Column:
         """Positions in column c where the phrase begins."""
         want, t = self._phrase(node), F.col(f"__t_{c}")
@@ -318,16 +332,17 @@ class Index:
         spots = F.transform(t, lambda _, i: F.when(here(i), i))
         # the first word rules out most texts before any position is tried
         first = F.exists(t, lambda x: F.startswith(x, F.lit(want[0])) if node.prefix and len(want) == 1 else x == want[0])
-        return F.when(first, F.filter(spots, lambda i: i.isNotNull())).otherwise(F.expr("cast(array() as array<int>)"))
+        here_ = lambda i: i == 0 if node.start else i.isNotNull()
+        return F.when(first, F.filter(spots, here_)).otherwise(F.expr("cast(array() as array<int>)"))
 
     def _holds(self, node: Node) -> Column:
-        cols = node.columns or self.columns
+        cols = self._in(node)
         if node.kind == "phrase":
             want = self._phrase(node)
-            if len(want) == 1:
+            if len(want) == 1 and not node.start:
                 test = (lambda x: F.startswith(x, F.lit(want[0]))) if node.prefix else (lambda x: x == want[0])
-                return reduce(or_, [F.exists(f"__t_{c}", test) for c in cols])
-            return reduce(or_, [F.size(self._starts(node, c)) > 0 for c in cols])
+                return reduce(or_, [F.exists(f"__t_{c}", test) for c in cols], F.lit(False))
+            return reduce(or_, [F.size(self._starts(node, c)) > 0 for c in cols], F.lit(False))
         if node.kind == "near":
             return reduce(or_, [self._near(node, c) for c in cols])
         if node.kind == "and":
@@ -366,7 +381,7 @@ class Index:
         tree = self._tree(query)
         phrases = self._phrases(tree)
         length = reduce(lambda a, b: a + b, [F.size(f"__t_{c}") for c in self.columns])
-        hits = [sum((F.size(self._starts(p, c)) * F.lit(self.weights.get(c, 1.0)) for c in p.columns or self.columns), F.lit(0.0)) for p in phrases]
+        hits = [sum((F.size(self._starts(p, c)) * F.lit(self.weights.get(c, 1.0)) for c in self._in(p)), F.lit(0.0)) for p in phrases]
         counted = self.df.withColumns({"__len": length, "__hit": self._holds(tree), **{f"__f{i}": h for i, h in enumerate(hits)}})
         stats = counted.agg(F.count(F.lit(1)).alias("__n"), F.avg("__len").alias("__avg"), *[F.count(F.when(F.col(f"__f{i}") > 0, 1)).alias(f"__d{i}") for i in range(len(hits))])
         score = F.lit(0.0)
@@ -378,7 +393,7 @@ class Index:
 
     def _marks(self, query: str | Node, c: str) -> Column:
         """Positions of tokens of c that lie in a phrase of the query."""
-        out = [self._spread(p, c) for p in self._phrases(self._tree(query)) if not p.columns or c in p.columns]
+        out = [self._spread(p, c) for p in self._phrases(self._tree(query)) if c in self._in(p)]
         return F.array_distinct(F.concat(*out)) if out else F.expr("cast(array() as array<int>)")
 
     def _spread(self, p: Node, c: str) -> Column:

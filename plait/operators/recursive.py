@@ -16,7 +16,10 @@ def _cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut, in the folder that the executors share."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plait-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="plait-"))
     return df.checkpoint()
 
 

@@ -50,12 +50,12 @@ def over(*partition: Any, order: list | tuple = (), frame: Frame | None = None)
 @dataclass(frozen=True)
 class Fn:
     """make: the function over its value column; fold: the same over an array of
-    values in frame order, for frames with exclusions; value None for *.
+    values in frame order and the type of their sum, for frames with exclusions; value None for *.
     sums: sum or count or avg, which over a whole partition need no arrays."""
 
     make: Callable[[Column], Column]
     value: Any = None
-    fold: Callable[[Column], Column] | None = None
+    fold: Callable[[Column, str], Column] | None = None
     sums: str | None = None
     pred: Column | None = None
 
@@ -77,8 +77,9 @@ def _some(a: Column) -> Column:
     return F.filter(a, lambda x: x.isNotNull())
 
 
-def _fold_sum(a: Column) -> Column:
-    return F.when(F.size(_some(a)) > 0, F.aggregate(_some(a), F.lit(0.0), lambda s, x: s + x.cast("double")))
+def _fold_sum(a: Column, kind: str) -> Column:
+    """In the type that a sum of the values has."""
+    return F.when(F.size(_some(a)) > 0, F.aggregate(_some(a), F.lit(0).cast(kind), lambda s, x: (s + x.cast(kind)).cast(kind)))
 
 
 def sum_(v: Any) -> Fn:
@@ -88,19 +89,19 @@ def sum_(v: Any) -> Fn:
 
 
 def avg(v: Any) -> Fn:
-    return Fn(F.avg, v, lambda a: _fold_sum(a) / F.size(_some(a)), "avg")
+    return Fn(F.avg, v, lambda a, kind: _fold_sum(a, kind) / F.size(_some(a)), "avg")
 
 
 def min_(v: Any) -> Fn:
-    return Fn(F.min, v, F.array_min)
+    return Fn(F.min, v, lambda a, _: F.array_min(a))
 
 
 def max_(v: Any) -> Fn:
-    return Fn(F.max, v, F.array_max)
+    return Fn(F.max, v, lambda a, _: F.array_max(a))
 
 
 def count(v: Any = None) -> Fn:
-    return Fn(F.count, v, lambda a: F.size(_some(a)).cast("bigint"), "count")
+    return Fn(F.count, v, lambda a, _: F.size(_some(a)).cast("bigint"), "count")
 
 
 def row_number() -> Fn:
@@ -128,15 +129,15 @@ def ntile(n: int) -> Fn:
 
 
 def first_value(v: Any) -> Fn:
-    return Fn(F.first_value, v, lambda a: F.get(a, F.lit(0)))
+    return Fn(F.first_value, v, lambda a, _: F.get(a, F.lit(0)))
 
 
 def last_value(v: Any) -> Fn:
-    return Fn(F.last_value, v, lambda a: F.try_element_at(a, F.lit(-1)))
+    return Fn(F.last_value, v, lambda a, _: F.try_element_at(a, F.lit(-1)))
 
 
 def nth_value(v: Any, n: int) -> Fn:
-    return Fn(lambda c: F.nth_value(c, n), v, lambda a: F.get(a, F.lit(n - 1)))
+    return Fn(lambda c: F.nth_value(c, n), v, lambda a, _: F.get(a, F.lit(n - 1)))
 
 
 def lag(v: Any, offset: int | Column = 1, default: Any = None) -> Fn:
@@ -232,4 +233,5 @@ def _one(df: DataFrame, name: str, fn: Fn, w: Over) -> DataFrame:
         "group": lambda x: x["g"] != g,
         "ties": lambda x: (x["g"] != g) | (x["n"] == n),
     }[frame.exclude]
-    return df.withColumn(name, fn.fold(F.transform(F.filter("__l", keep), lambda x: x["v"])))
+    kind = df.select(v.alias("v")).limit(0).groupBy().agg(F.sum("v")).schema[0].dataType.simpleString() if fn.sums else "double"
+    return df.withColumn(name, fn.fold(F.transform(F.filter("__l", keep), lambda x: x["v"]), kind))

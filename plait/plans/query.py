@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import asyncio
 from collections.abc import Callable
 from functools import reduce
 from operator import and_
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from plait.functions import sem
@@ -20,6 +21,18 @@ class SequenceError(LookupError):
     """No element, or more than one, where one was asked for."""
 
 
+class _Second:
+    """The second occurrence of a frame that is joined to itself: its columns by their first names."""
+
+    def __init__(self, df: DataFrame, names: dict[str, str]):
+        self._df, self._names = df, names
+
+    def __getitem__(self, name: str) -> Column:
+        return self._df[self._names[name]]
+
+    @property
+    def columns(self) -> list[str]:
+        return list(self._names)
 
 
 class Query:
@@ -99,17 +112,23 @@ class Query:
 
     def _pair(self, other: Query | DataFrame, on: Any, how: str, nullable: tuple[str, ...] = ()) -> Query:
         """on: a column, function of both frames, or (left, right) key names. One
-        key matches by =; of several, those named in `nullable` match null with null."""
+        key matches by =; of several, those named in `nullable` match null with
+        null. In a join of a query to itself the right one's columns get the suffix _2."""
         right = other.df if isinstance(other, Query) else other
+        names = right
+        if right is self.df or right.columns == self.df.columns and right.sameSemantics(self.df):
+            second = {c: f"{c}_2" for c in right.columns}
+            right = right.toDF(*second.values())
+            names = _Second(right, second)
         if callable(on) and not isinstance(on, Column):
-            cond = on(self.df, right)
+            cond = on(self.df, names)
         elif isinstance(on, Column):
             cond = on
         else:
             keys = [(on, on)] if isinstance(on, str) else list(on)
             keys = [(k, k) if isinstance(k, str) else k for k in keys]
             safe = len(keys) > 1
-            cond = reduce(and_, [self.df[a].eqNullSafe(right[b]) if safe and a in nullable else self.df[a] == right[b] for a, b in keys])
+            cond = reduce(and_, [self.df[a].eqNullSafe(names[b]) if safe and a in nullable else self.df[a] == names[b] for a, b in keys])
         return self._with(self.df.join(right, cond, how), ())
 
     def join(self, other, on, nullable=()) -> Query:
@@ -222,8 +241,7 @@ class Query:
         return self._with(self.df.distinct().agg(F.count(F.lit(1)).alias("result")), ())
 
     def string_join(self, c: Any, sep: str) -> Query:
-        order = self._order[0][0] if self._order else None
-        return self.agg(result=sem.string_join(self._col(c), sep, order))
+        return self.agg(result=sem.string_join(self._col(c), sep, self._order))
 
     # terminals
 
@@ -234,8 +252,21 @@ class Query:
         """Rows one by one, a partition at a time on the driver."""
         return self.df.toLocalIterator()
 
+    def to_hash_set(self) -> set[Row]:
+        return set(self.df.distinct().collect())
+
     def to_dictionary(self, key: str) -> dict:
-        return {r[key]: r for r in self.to_list()}
+        """Rows by key; a key that comes twice is an error."""
+        out: dict = {}
+        for r in self.to_list():
+            if r[key] in out:
+                raise ValueError(f"key {r[key]!r} comes twice")
+            out[r[key]] = r
+        return out
+
+    async def run_async(self, terminal: str, *args: Any, **named: Any) -> Any:
+        """A terminal by name, off the event loop: await q.run_async("to_list")."""
+        return await asyncio.to_thread(getattr(self, terminal), *args, **named)
 
     def to_lookup(self, key: str) -> dict:
         out: dict = {}
@@ -325,6 +356,16 @@ class Grouped:
     def count_groups(self) -> Query:
         return self.query._with(self.query.df.select(*self.keys).distinct().agg(F.count(F.lit(1)).alias("result")), ())
 
+    def element_at(self, i: int, *order: Column) -> Query:
+        """The i-th row of each group by an order (columns, asc() or desc()); groups without one have no row."""
+        df, keys = self.query.df, [f"__k{j}" for j in range(len(self.keys))]
+        df = df.withColumns(dict(zip(keys, self.keys, strict=True)))
+        spot = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return self.query._with(df.withColumn("__n", spot).filter(F.col("__n") == i + 1).drop("__n", *keys), ())
+
+    def first(self, *order: Column) -> Query:
+        return self.element_at(0, *order)
+
     def rows(self, name: str = "rows") -> Query:
         """Each group with its rows: an array, so for groups that fit a row."""
         return self.select(**{name: F.collect_list(F.struct("*"))})

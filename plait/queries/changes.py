@@ -84,3 +84,29 @@ def upsert_update(db):
 @case("upsert_returning", f"WITH {_NEW} SELECT * FROM new")
 def upsert_returning(db):
     return U.upsert(_part(db), _new(db), ["p_partkey"], returning=True)
+
+
+@case("update_from_many", """
+SELECT c_custkey, coalesce(min(CASE WHEN o_totalprice > 100000 THEN o_orderkey END), c_custkey) AS c_best FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
+def update_from_many(db):
+    target = db.frame("customer").select("c_custkey", c("c_custkey").alias("c_best"))
+    return U.update_from(target, db.frame("orders"), [("c_custkey", "o_custkey")], lambda t: {"c_best": t["o_orderkey"]}, lambda t: t["o_totalprice"] > 100000)
+
+
+_AGAIN = "new AS (SELECT p_partkey, p_name, p_size + x AS p_size FROM part, (VALUES (1), (7), (3)) v(x) WHERE p_partkey % 3 = 0), one AS (SELECT p_partkey, p_name, max(p_size) AS p_size FROM new GROUP BY 1, 2)"
+
+
+def _again(db):
+    """New rows of which three share a key."""
+    parts = _part(db).filter("p_partkey % 3 = 0")
+    return parts.withColumn("p_size", F.explode(F.array(*[c("p_size") + x for x in (1, 7, 3)])))
+
+
+@case("add_or_replace_again", f"WITH {_AGAIN} SELECT * FROM one UNION ALL SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 3 <> 0")
+def add_or_replace_again(db):
+    return U.add_or_update(_part(db), _again(db), ["p_partkey"], order=c("p_size"))
+
+
+@case("upsert_again", f"WITH {_AGAIN} SELECT * FROM one UNION ALL SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 3 <> 0")
+def upsert_again(db):
+    return U.upsert(_part(db), _again(db), ["p_partkey"], order=c("p_size"))

@@ -211,28 +211,29 @@ def json_extract(db):
 
 @case("json_change", """
 SELECT event_id, '{"k":' || k || ',"n":1}' AS a, '{"k":' || k || '}' AS b, '{"k":0}' AS d, '{}' AS e, '{"k":' || k || ',"x":{"y":[1]}}' AS f, '{"k":' || k || '}' AS g, 'integer' AS t,
-  'object' AS o FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_id < 300)""")
+  'object' AS o FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events)""")
 def json_change(db):
     p = c("props")
-    return db.table("events").where("event_id < 300").select(
+    return db.table("events").select(
         "event_id", a=J.set_(p, "$.n", 1), b=J.insert(p, "$.k", 5), d=J.replace(p, "$.k", 0), e=J.remove(p, "$.k"), f=J.patch(p, {"x": {"y": [1]}, "z": None}), g=J.minify(p),
         t=J.type_of(p, "$.k"), o=J.type_of(p),
     )
 
 
-@case("json_arrays", "SELECT event_id, 3 AS n, 2 AS m, 'b' AS x FROM events WHERE event_id < 50")
+@case("json_arrays", "SELECT event_id, CAST(event_id % 5 + 1 AS INT) AS n, CAST(user_id % 3 + 1 AS INT) AS m, event_type AS x FROM events")
 def json_arrays(db):
-    doc = F.lit('{"a": ["a", "b", "c"], "o": [1, 2]}')
-    return db.table("events").where("event_id < 50").select("event_id", n=J.array_length(F.lit("[1,2,3]")), m=J.array_length(doc, "$.o"), x=J.extract(doc, "$.a[1]"))
+    upto = lambda n: F.to_json(F.sequence(F.lit(0).cast("bigint"), n))
+    doc = F.concat(F.lit('{"a": ["a", "'), c("event_type"), F.lit('"], "o": '), upto(c("user_id") % 3), F.lit("}"))
+    return db.table("events").select("event_id", n=J.array_length(upto(c("event_id") % 5)), m=J.array_length(doc, "$.o"), x=J.extract(doc, "$.a[1]"))
 
 
 def _lists(db):
     """Each customer's order keys in order."""
-    q = db.table("orders").where("o_custkey < 200").group_by("o_custkey")
+    q = db.table("orders").group_by("o_custkey")
     return q.select(ks=F.sort_array(F.collect_list("o_orderkey")))
 
 
-_LISTS = "WITH l AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS ks FROM orders WHERE o_custkey < 200 GROUP BY 1) "
+_LISTS = "WITH l AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS ks FROM orders GROUP BY 1) "
 
 
 @case("array_scalars", _LISTS + """
@@ -286,10 +287,10 @@ def array_select_many(db):
     return _lists(db).select("o_custkey", n=A.count(many), s=A.sum_(many))
 
 
-@case("map_functions", "SELECT event_id, true AS has, json_extract_string(props, '$.k') AS v, 1 AS n FROM events WHERE event_id < 100")
+@case("map_functions", "SELECT event_id, true AS has, json_extract_string(props, '$.k') AS v, 1 AS n FROM events")
 def map_functions(db):
     m = F.from_json("props", "map<string,string>")
-    return db.table("events").where("event_id < 100").select("event_id", m=m).select("event_id", has=A.contains_key(c("m"), "k"), v=F.try_element_at("m", F.lit("k")), n=F.size(A.keys(c("m"))))
+    return db.table("events").select("event_id", m=m).select("event_id", has=A.contains_key(c("m"), "k"), v=F.try_element_at("m", F.lit("k")), n=F.size(A.keys(c("m"))))
 
 
 @case("array_literal", "SELECT n_nationkey FROM nation WHERE n_name IN ('FRANCE', 'GERMANY') OR n_nationkey IN (1, 2, 3)")

@@ -55,6 +55,16 @@ def string_join_ordered(db):
     return db.table("nation").order_by("n_name").string_join("n_name", ",")
 
 
+@case("string_join_keys", "SELECT string_agg(n_name, ',' ORDER BY n_regionkey DESC, n_name) AS result FROM nation")
+def string_join_keys(db):
+    return db.table("nation").order_by_descending("n_regionkey").then_by("n_name").string_join("n_name", ",")
+
+
+@case("group_first", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n = 1")
+def group_first(db):
+    return db.table("orders").group_by("o_custkey").first(c("o_totalprice").desc(), c("o_orderkey")).select("o_custkey", "o_orderkey")
+
+
 @case("total_group", "SELECT o_custkey, coalesce(sum(CAST(o_orderkey AS DOUBLE)), 0.0) AS t FROM orders GROUP BY o_custkey")
 def total_group(db):
     return db.table("orders").group_by("o_custkey").select(t=sem.total(c("o_orderkey")))

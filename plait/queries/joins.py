@@ -16,10 +16,9 @@ def inner_join(db):
 
 @case("composite_key_nullsafe", """
 SELECT a.c_custkey AS x, b.c_custkey AS y FROM customer a JOIN customer b
-ON nullif(a.c_mktsegment, 'BUILDING') IS NOT DISTINCT FROM nullif(b.c_mktsegment, 'BUILDING') AND a.c_nationkey = b.c_nationkey
-WHERE a.c_custkey < 100 AND b.c_custkey < 100""")
+ON nullif(a.c_mktsegment, 'BUILDING') IS NOT DISTINCT FROM nullif(b.c_mktsegment, 'BUILDING') AND a.c_nationkey = b.c_nationkey""")
 def composite_key_nullsafe(db):
-    a = db.table("customer").where("c_custkey < 100").select(x="c_custkey", seg=F.nullif(c("c_mktsegment"), F.lit("BUILDING")), nk="c_nationkey")
+    a = db.table("customer").select(x="c_custkey", seg=F.nullif(c("c_mktsegment"), F.lit("BUILDING")), nk="c_nationkey")
     b = a.select(y="x", seg2="seg", nk2="nk")
     return a.join(b, [("seg", "seg2"), ("nk", "nk2")], nullable=("seg",)).select("x", "y")
 
@@ -37,10 +36,10 @@ def right_join(db):
 
 
 @case("full_join", """
-SELECT a.c_custkey AS x, b.s_suppkey AS y FROM (SELECT * FROM customer WHERE c_custkey < 50) a
-FULL JOIN (SELECT * FROM supplier WHERE s_suppkey < 80) b ON a.c_custkey = b.s_suppkey""")
+SELECT a.c_custkey AS x, b.s_suppkey AS y FROM customer a
+FULL JOIN (SELECT s_suppkey + 20 AS s_suppkey FROM supplier) b ON a.c_custkey = b.s_suppkey""")
 def full_join(db):
-    a, b = db.table("customer").where("c_custkey < 50"), db.table("supplier").where("s_suppkey < 80")
+    a, b = db.table("customer"), db.table("supplier").select(s_suppkey=c("s_suppkey") + 20)
     return a.full_join(b, [("c_custkey", "s_suppkey")]).select(x="c_custkey", y="s_suppkey")
 
 
@@ -87,6 +86,12 @@ def self_join(db):
     return a.join(b, [("k", "j")]).where("x < y").select("x", "y")
 
 
+@case("self_join_same", "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def self_join_same(db):
+    q = db.table("nation")
+    return q.join(q, lambda a, b: (a["n_regionkey"] == b["n_regionkey"]) & (a["n_nationkey"] < b["n_nationkey"])).select(x="n_name", y="n_name_2")
+
+
 @case("semi_exists", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 def semi_exists(db):
     big = db.table("orders").where("o_totalprice > 200000")

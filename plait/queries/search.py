@@ -45,6 +45,16 @@ def fts_accents(db):
     return _index(db).match(Phrase("POUR") & Prefix("étr")).select("doc_id")
 
 
+@case("fts_start", _DOCS + "SELECT doc_id FROM d WHERE t[1] = 'the'")
+def fts_start(db):
+    return _index(db).match("^the").select("doc_id")
+
+
+@case("fts_plus", _DOCS + "SELECT doc_id FROM d WHERE contains(' ' || array_to_string(t, ' ') || ' ', ' all rights reserved ')")
+def fts_plus(db):
+    return _index(db).match("all + rights + reserved").select("doc_id")
+
+
 @case("fts_near", _DOCS + """
 SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(range(1, len(t) + 1)) AS i, t FROM d WHERE list_contains(t, 'licensed') AND list_contains(t, 'license'))
 WHERE t[i] = 'licensed' AND (list_contains(t[i + 1:i + 7], 'license') OR list_contains(t[greatest(i - 7, 1):i - 1], 'license'))""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -64,6 +66,7 @@ class Database:
         self._views: dict[str, Callable[[], Query]] = {}
         self._filters: list[tuple[str, Callable[[DataFrame], Column]]] = []
         self._attached: dict[str, Database] = {}
+        self._kept: list[DataFrame] = []
         for name, ddl in (SCHEMAS if schemas is None else schemas).items():
             self.register(name, ddl)
 
@@ -113,6 +116,27 @@ class Database:
 
     read_only_table = table
 
+    def save(self, name: str, rows: Query | DataFrame, mode: str = "append") -> int:
+        """Write rows to a table: append to it, or overwrite it. Columns go by
+        name, through the table's converters; rows that break a check are an
+        error. An overwritten table moves to a new folder, so its old files may
+        be read by what is written. Gives the number of rows."""
+        t = self._tables[name]
+        if t.read_only:
+            raise PermissionError(f"{name} is read-only")
+        if mode not in ("append", "overwrite"):
+            raise ValueError(mode)
+        df = rows.df if isinstance(rows, Query) else rows
+        broken = [df.filter(~F.coalesce(c, F.lit(True))).limit(1).count() for c in t.checks]
+        if any(broken):
+            raise ValueError(f"rows break a check of {name}")
+        out = df.select(*[(t.converters[f.name].encode(F.col(f.name)) if f.name in t.converters else F.col(f.name)).cast(f.dataType).alias(f.name) for f in t.schema])
+        path = t.path if mode == "append" else f"{t.path.rstrip('/')}-{uuid.uuid4().hex}"
+        out.write.format(t.format).mode("append").save(path)
+        n = self.spark.read.format(t.format).schema(t.schema).load(path).count() if mode == "overwrite" else df.count()
+        t.path = path
+        return n
+
     # databases side by side
 
     def attach(self, name: str, path: str, schemas: dict[str, str] | None = None) -> Database:
@@ -126,12 +150,23 @@ class Database:
 
     def from_sql(self, sql: str, **params: Any) -> Query:
         """A SELECT over the registered tables, with :name parameters."""
-        if ";" in sql.rstrip().rstrip(";"):
+        sql = sql.rstrip().rstrip(";")
+        bare = re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/", "''", sql, flags=re.S)
+        if ";" in bare:
             raise ValueError("one statement only")
-        for name in (*self._tables, *self._views):
-            if name.lower() in sql.lower():
-                self.frame(name).createOrReplaceTempView(name)
-        return Query(self.spark.sql(sql.rstrip().rstrip(";"), args=params or None), self)
+        words, before = {w.lower() for w in re.findall(r"\w+", bare)}, {}
+        views = {v.name.lower() for v in self.spark.catalog.listTables() if v.isTemporary}
+        try:  # a plan is bound when it is made: the session's own views come back at once
+            for name in (*self._tables, *self._views):
+                if name.lower() in words:
+                    before[name] = self.spark.table(name) if name.lower() in views else None
+                    self.frame(name).createOrReplaceTempView(name)
+            return Query(self.spark.sql(sql, args=params or None), self)
+        finally:
+            for name, df in before.items():
+                self.spark.catalog.dropTempView(name)
+                if df is not None:
+                    df.createOrReplaceTempView(name)
 
     def query_first(self, sql: str, **params: Any):
         return self.from_sql(sql, **params).first()
@@ -139,6 +174,12 @@ class Database:
     def query_single(self, sql: str, **params: Any):
         return self.from_sql(sql, **params).single()
 
+    def query_first_or_default(self, sql: str, default: Any = None, **params: Any):
+        return self.from_sql(sql, **params).first_or_default(default=default)
+
+    def query_single_or_default(self, sql: str, default: Any = None, **params: Any):
+        return self.from_sql(sql, **params).single_or_default(default=default)
+
     def execute_scalar(self, sql: str, **params: Any) -> Any:
         row = self.from_sql(sql, **params).first_or_default()
         return None if row is None else row[0]
@@ -155,7 +196,15 @@ class Database:
 
     def with_(self, query: Query, materialized: bool = False) -> Query:
         """A shared subquery; materialized: computed once, and kept."""
-        return Query(query.df.cache(), self) if materialized else query
+        if not materialized:
+            return query
+        self._kept.append(query.df.cache())
+        return Query(self._kept[-1], self)
+
+    def release(self) -> None:
+        """Let go of materialized subqueries."""
+        while self._kept:
+            self._kept.pop().unpersist()
 
     def with_recursive(self, seed: Query, step: Callable[[Query], Query], distinct: bool = False, most: int = 1000) -> Query:
         run = recursive_union if distinct else recursive_union_all
