@@ -18,6 +18,8 @@ from plait.plans.query import SequenceError
 from plait.queries import oracle_sql, queries
 from plait.sources.catalog import Database, SchemaError
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.fixture(scope="module")
 def db(spark, tmp_path_factory):
@@ -180,3 +182,62 @@ def test_plans(spark):
 def test_every_query_has_a_name_and_most_have_sql():
     assert set(oracle_sql()) <= set(queries()) and len(queries()) - len(oracle_sql()) <= 6
     assert misc.Functions().__class__.__name__ == "Functions"
+
+
+def test_sums_of_excluded_frames_keep_their_type(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(i, big + i) for i in range(5)], "i int, v bigint")
+    got = W.apply(df, {"s": (W.sum_("v"), W.over(order=["i"], frame=W.rows(-2, 2, "current_row")))})
+    assert got.schema["s"].dataType.simpleString() == "bigint"
+    values = {r.i: r.v for r in got.collect()}
+    assert {r.i: r.s for r in got.collect()} == {i: sum(values[j] for j in range(max(0, i - 2), min(5, i + 3)) if j != i) for i in range(5)}
+
+
+def test_sql_literals_and_session_views(spark, tmp_path):
+    spark.createDataFrame([(1,), (2,)], "r_regionkey int").createOrReplaceTempView("nation")
+    db = Database(spark, SF)
+    assert db.execute_scalar("SELECT ';' AS x -- a; b") == ";"
+    assert db.query_first_or_default("SELECT * FROM region WHERE r_regionkey < 0") is None
+    assert db.from_sql("SELECT count(*) AS n FROM nation").first().n == 25
+    assert spark.table("nation").count() == 2  # the session's own view is back
+    spark.catalog.dropTempView("nation")
+    with pytest.raises(ValueError):
+        db.from_sql("SELECT 1; SELECT 2")
+
+
+def test_saved_tables(spark, tmp_path):
+    db = Database(spark, str(tmp_path), {"t": "a int, b string"})
+    db.save("t", spark.createDataFrame([(1, "x")], "a int, b string"))
+    db.save("t", spark.createDataFrame([("y", 2)], "b string, a int"))
+    assert sorted(map(tuple, db.table("t").to_list())) == [(1, "x"), (2, "y")]
+    assert db.save("t", db.table("t").where("a = 2"), "overwrite") == 1
+    assert [tuple(r) for r in db.table("t").to_list()] == [(2, "y")]
+    db._tables["t"].read_only = True
+    with pytest.raises(PermissionError):
+        db.save("t", db.table("t"))
+
+
+def test_weeks_of_the_year(spark):
+    from datetime import datetime, timedelta
+
+    days = [datetime(2019, 12, 25) + timedelta(days=i) for i in range(0, 760, 3)]
+    df = spark.createDataFrame([(d,) for d in days], "t timestamp_ntz")
+    for r in df.select("t", *[D.strftime(f"%{x}", F.col("t")).alias(x) for x in "WUVGg"]).collect():
+        assert [r[x] for x in "WUVGg"] == [r.t.strftime(f"%{x}") for x in "WUVGg"], r.t
+
+
+def test_search_marks(spark):
+    df = spark.createDataFrame([(1, "the one two", "a"), (2, "say the one", "the"), (3, "one and two", "b")], "i int, x string, y string")
+    index = Index(df, ["x", "y"])
+    found = lambda q: sorted(r.i for r in index.match(q).collect())
+    assert found("x : ^the") == [1] and found("^the") == [1, 2] and found("one + two") == [1] and found("-x : the") == [2] and found("one two") == [1, 3]
+
+
+def test_terminals_that_refuse_and_run_aside(spark):
+    import asyncio
+
+    q = Database(spark, SF).table("nation")
+    with pytest.raises(ValueError):
+        q.to_dictionary("n_regionkey")
+    assert len(q.to_dictionary("n_nationkey")) == 25 and len(q.select("n_regionkey").to_hash_set()) == 5
+    assert len(asyncio.run(q.run_async("to_list"))) == 25
