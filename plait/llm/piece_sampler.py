@@ -502,8 +502,11 @@ class _Search:
             rows.append((some, np.full(len(some), path + 1), logp[some], score[path][some], inclusion[some]))
             ids.append(mine)
             sizes.append(count[some])
-        at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-        return Sampled(*(np.concatenate([r[i] for r in rows]) for i in range(5)), at, np.concatenate(ids))
+        # text by text
+        cols, size, flat = [np.concatenate([r[i] for r in rows]) for i in range(5)], np.concatenate(sizes), np.concatenate(ids)
+        order = np.lexsort((cols[1], cols[0]))
+        flat = flat[_spans((np.cumsum(size) - size)[order], size[order])]
+        return Sampled(*(c[order] for c in cols), np.concatenate([[0], np.cumsum(size[order])]), flat)
 
 
 def sample(texts: list[str], keys: list[int], lattices: Lattices, k: int) -> Sampled:
