@@ -55,8 +55,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _STRETCH = re.compile(r" *[^ \n]+| +|\n")
 _K = [U(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03)]
 #: Characters of the lattices that a task keeps, and of a batch of texts.
-_KEPT = 600_000
-_BATCH = 1 << 18
+_KEPT = 300_000
+_BATCH = 1 << 17
 #: Uniforms are at least 2**-54 and at most 1 - 2**-53, so two Gumbel variables differ by less than this.
 _SPREAD = 41.0
 
