@@ -36,7 +36,6 @@ from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -260,16 +259,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.8, k: int = 5
 
 
 def _leaks(sent):
-    @F.pandas_udf("boolean")
-    def leaks(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def leaks(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in it:
             hit = np.zeros(len(texts), bool)
             for i in range(0, len(texts), 512):
-                raw = [folded(x if isinstance(x, str) else None) for x in texts.iloc[i : i + 512]]
+                raw = [folded(x) for x in texts.slice(i, 512).to_pylist()]
                 for part in batches(raw):
                     for index in sent.value:
                         hit[[i + part.start + r[0] for r in index.search(raw[part])]] = True
-            yield pd.Series(hit)
+            yield pa.array(hit)
         release()
 
     return leaks
@@ -278,7 +277,7 @@ def _leaks(sent):
 def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", share: float = 0.8, k: int = 5, least_half: int = 13, shard: int = 20_000, per_pass: int = 200_000) -> DataFrame:
     """docs without the rows whose text holds an item, or a half of one. No join: a pass is a filter."""
     for indexes in _passes(items, shard, per_pass, k=k, share=share, least_half=least_half):
-        docs = docs.filter(~_leaks(docs.sparkSession.sparkContext.broadcast(indexes))(F.col(text_col)))
+        docs = docs.filter(~_leaks(docs.sparkSession.sparkContext.broadcast(indexes))(F.col(text_col).cast("string")))
     return docs
 
 

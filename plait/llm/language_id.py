@@ -31,7 +31,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -275,17 +274,17 @@ def language_of(model: Crf, spark: SparkSession):
     """A function of a text column: struct(lang_pred, score). Other columns stay in the JVM."""
     sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def of(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def of(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in it:
             langs, scores = [], []
             for i in range(0, len(texts), 512):
-                raw = [x.encode() if isinstance(x, str) else None for x in texts.iloc[i : i + 512]]
+                raw = texts.slice(i, 512).cast(pa.binary()).to_pylist()
                 for part in batches(raw, 1 << 19):
                     x, s = sent.value.predict(raw[part])
                     langs += x
                     scores += s.tolist()
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
         release()
 
     return of

@@ -42,7 +42,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -571,10 +570,10 @@ def decode(df: DataFrame, model: str = MODEL, ids_col: str = "ids", name: str =
     with open(model, "rb") as f:
         sent = df.sparkSession.sparkContext.broadcast(Pieces(f.read()))
 
-    @F.pandas_udf("string")
-    def text_of(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def text_of(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for rows in it:
-            yield pd.Series([None if x is None else sent.value.decode(x) for x in rows], dtype=object)
+            yield pa.array([None if x is None else sent.value.decode(x) for x in rows.to_pylist()], pa.string())
 
     return df.withColumn(name, text_of(F.col(ids_col)))
 
