@@ -375,6 +375,18 @@ def test_url_words_and_evidence_come_from_the_corpus(spark):
     assert url_filter.count_words(parts, texts) == {"kirschen": 43, "garten": 42, "und": 2, "bäcker": 2, "en": 40, "de": 40}
 
 
+def test_url_words_count_however_rare(spark):
+    """Words met twice split urls, and words of two decided hosts teach the model, among ever so many others."""
+    texts = spark.range(1000).select(F.repeat(F.lit("und garten "), 400).alias("text")).union(spark.createDataFrame([("kirschen pflaume",)] * 2, "text string"))
+    urls = spark.range(60_000).select(F.format_string("http://w%d.org/es/garten", "id").alias("url"))
+    more = [("http://a.org/es/pflaume",), ("http://b.org/es/pflaume",), ("http://kirschenpflaume.test/",), ("http://pflaume.test/",), ("http://zqx.test/",)]
+    urls = urls.union(spark.createDataFrame(more, "url string"))
+    got = url_filter.filter_urls(urls, keep=("url",), texts=texts).filter("host like '%.test'")
+    got = {r.host: r for r in got.collect()}
+    assert got["kirschenpflaume.test"]["words"].split()[:2] == ["kirschen", "pflaume"]
+    assert got["pflaume.test"]["bad_score"] > got["zqx.test"]["bad_score"]
+
+
 def test_forward_backward_against_all_paths():
     rng = np.random.default_rng(1)
     emit, first, trans = rng.normal(size=(7, 3)), rng.random(3) + 0.1, rng.random((3, 3)) + 0.1
