@@ -25,6 +25,8 @@ first copy stays, and so do repeated runs that are shorter.
 Everything is built-in DataFrame operations. Intervals are reduced to their
 first place by partial aggregation, so a passage in a third of all texts meets
 in no task; the texts themselves move once, when the deletions are joined back.
+Joins are sort-merge joins whatever the size: a small table is joined as a large
+one will be, so its shuffles tell those of the large one, and nothing is broadcast.
 
 Defined edge cases: null text stays null, empty text empty; rows of one doc_id
 and text are one document and get one result; null doc_ids order last; a text
@@ -67,7 +69,7 @@ def _stretches(df: DataFrame, min_words: int) -> DataFrame:
     lines = materialize(lines, "lines")
     again = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b")
     ids = _ordered_ids(again, ["a", "b"], "r0")
-    active = lines.join(ids, ["a", "b"]).select("doc_id", "row_hash", "pos", "line", "w", "r0").distinct()
+    active = lines.join(ids.hint("merge"), ["a", "b"]).select("doc_id", "row_hash", "pos", "line", "w", "r0").distinct()
     doc = Window.partitionBy(*_PLACE)
     runs = active.withColumn("seg", F.col("pos") - F.row_number().over(doc.orderBy("pos")))
     seg = Window.partitionBy(*_PLACE, "seg")
@@ -98,14 +100,14 @@ def repeated_lines(df: DataFrame, min_words: int = 50) -> DataFrame:
         place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_hash", "p")
         keyed = materialize(keyed.select(*_PLACE, "p", "n", "x", "y", place.alias("place")), "keyed")
         first = materialize(keyed.groupBy("n", "x", "y").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "first")
-        part = keyed.join(first, ["n", "x", "y"]).filter("place > first").select(*_PLACE, "p", "n")
+        part = keyed.join(first.hint("merge"), ["n", "x", "y"]).filter("place > first").select(*_PLACE, "p", "n")
         later = part if later is None else later.union(part)
         if 2 * size <= longest:
             nxt = ranks.select(*_PLACE, (F.col("pos") - size).alias("pos"), F.col("r").alias("s"))
             pairs = materialize(_join(ranks, nxt, "pos"), "pairs")
             twice = pairs.groupBy("r", "s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("r", "s")
             ids = _ordered_ids(twice, ["r", "s"], "t")
-            ranks = materialize(pairs.join(ids, ["r", "s"]).select(*_PLACE, "pos", F.col("t").alias("r")), "order")
+            ranks = materialize(pairs.join(ids.hint("merge"), ["r", "s"]).select(*_PLACE, "pos", F.col("t").alias("r")), "order")
         k += 1
     if later is None:
         later = runs.select(*_PLACE, "p", "n").limit(0)
@@ -121,7 +123,7 @@ def _join(a: DataFrame, b: DataFrame, *cols: str, how: str = "inner") -> DataFra
     cond = on[0]
     for c in on[1:]:
         cond = cond & c
-    return a.join(b, cond, how).drop(*[f"__{c}" for c in (*_PLACE, *cols)])
+    return a.join(b.hint("merge"), cond, how).drop(*[f"__{c}" for c in (*_PLACE, *cols)])
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:

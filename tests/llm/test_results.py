@@ -342,6 +342,16 @@ def test_template_counts_against_brute_force(spark):
     assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == want and any("Shared" in x for x in want.values())
 
 
+def test_line_joins_are_of_one_kind_at_any_size(spark):
+    """Of a small table too the deletions are joined by sort and merge: its shuffles tell those of a large one."""
+    long = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, long), (2, f"a\n{long}"), (None, long)], "doc_id bigint, text string")
+    got = line_dedup.dedup_lines(df)
+    assert {(r.doc_id, r.text) for r in got.collect()} == {(1, long), (2, "a"), (None, "")}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_url_rules_and_words(spark):
     cases = {
         "http://x.example.com/en/75": ("com/en/", "allow", "example.com/en/7"),
