@@ -40,6 +40,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,19 @@ SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _STRETCH = re.compile(r" *[^ \n]+| +|\n")
 _K = [U(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03)]
+
+
+def _stretches(text: str) -> list[str]:
+    """What _STRETCH finds in a text behind a first space. Where no two spaces adjoin, each
+    begins a stretch and line ends stand alone, so the text is split without the pattern."""
+    if not text:
+        return []
+    text = " " + text
+    if "  " in text or "\0" in text:
+        return _STRETCH.findall(text)
+    return list(filter(None, text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
+
+
 #: Characters of the lattices that a task keeps, and of a batch of texts.
 _KEPT = 300_000
 _BATCH = 1 << 17
@@ -205,16 +219,19 @@ class Lattice:
         left = stop - np.arange(n)
         by = np.argsort(left, kind="stable")
         cut = np.searchsorted(left[by], np.arange(1, (left.max() if n else 0) + 2))
+        k_by = count[by]
+        edge = np.concatenate([[0], np.cumsum(k_by)])
+        e_by = _spans(self.first[by], k_by)
+        logit_by, ends_by, to_by = logit[e_by], ends[e_by], to[e_by]
         for r in range(len(cut) - 1):
-            s = by[cut[r] : cut[r + 1]]
-            if not len(s):
+            a, b = cut[r], cut[r + 1]
+            if a == b:
                 continue
-            k = count[s]
-            e = _spans(self.first[s], k)
-            v = logit[e] + np.where(ends[e], 0.0, beta[to[e]])
-            edge = np.cumsum(k) - k
-            top = np.maximum.reduceat(v, edge)
-            beta[s] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, k)), edge))
+            i = slice(edge[a], edge[b])
+            v = logit_by[i] + np.where(ends_by[i], 0.0, beta[to_by[i]])
+            at = edge[a:b] - edge[a]
+            top = np.maximum.reduceat(v, at)
+            beta[by[a:b]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, k_by[a:b])), at))
         onward = np.where(ends, 0.0, beta[to]) if n else logit
         self.logp = np.minimum(logit + onward - beta[start], 0.0) if n else logit
         self.logp[self.first[:-1][count == 1]] = 0.0
@@ -237,6 +254,18 @@ class Lattice:
             room[n : n + len(more)] = more
             setattr(self, name, room[: n + len(more)])
 
+    def take(self, which: np.ndarray) -> Lattice:
+        """The lattice of some of the stretches alone."""
+        got = Lattice.__new__(Lattice)
+        size = self.begin[which + 1] - self.begin[which]
+        state = _spans(self.begin[which], size)
+        count = self.first[state + 1] - self.first[state]
+        edge = _spans(self.first[state], count)
+        got.begin, got.first = (np.concatenate([[0], np.cumsum(x)]) for x in (size, count))
+        got.length, got.id, got.logp, got.cdf = (x[edge] for x in (self.length, self.id, self.logp, self.cdf))
+        got._room = {}
+        return got
+
     def walk(self, state: np.ndarray, stop: np.ndarray, place: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """From states to stops: (row, place, edge) of every step, row by row.
         place: of the state in its text; noise: key of the row's uniforms."""
@@ -270,30 +299,40 @@ class Lattice:
 
 
 class Lattices:
-    """Lattices of the stretches met so far, up to a bound of characters; from
-    there on those met twice are kept."""
+    """Lattices of the stretches met so far, up to a bound of characters; beyond
+    it those met most often are kept, up to half of it."""
 
     def __init__(self, pieces: Pieces, kept: int = _KEPT):
         self.pieces, self.kept = pieces, kept
         self.index: dict[str, int] = {}
+        self.met = np.zeros(0, np.int64)
         self.lattice = Lattice([], pieces)
 
+    def _shrink(self) -> None:
+        size = np.diff(self.lattice.begin)
+        order = np.argsort(-self.met, kind="stable")
+        order = order[(self.met[order] > 1) & (size[order] <= 64)]
+        order = order[np.cumsum(size[order]) <= self.kept // 2]
+        names = list(self.index)
+        self.index = {names[i]: n for n, i in enumerate(order.tolist())}
+        self.lattice, self.met = self.lattice.take(order), self.met[order] // 2
+
     def of(self, stretches: list[str]) -> tuple[Lattice, np.ndarray]:
         """A lattice that holds the stretches, and the place of each in it."""
         if self.lattice.begin[-1] > self.kept:
-            again = [x for x in dict.fromkeys(stretches) if x in self.index and len(x) <= 64]
-            self.index, self.lattice = dict(zip(again, range(len(again)), strict=True)), None
-            self.lattice = Lattice(again, self.pieces)
-        spots, new = list(map(self.index.get, stretches)), []
-        for j in [j for j, i in enumerate(spots) if i is None]:
-            x = stretches[j]
-            if x not in self.index:
-                self.index[x] = len(self.index)
-                new.append(x)
-            spots[j] = self.index[x]
-        if new:
+            self._shrink()
+        spots = np.fromiter(map(self.index.get, stretches, repeat(-1)), np.int64, len(stretches))
+        missed = np.flatnonzero(spots < 0)
+        if len(missed):
+            unknown = [stretches[j] for j in missed.tolist()]
+            new = list(dict.fromkeys(unknown))
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+            spots[missed] = np.fromiter(map(self.index.__getitem__, unknown), np.int64, len(unknown))
             self.lattice.add(Lattice(new, self.pieces))
-        return self.lattice, np.array(spots, np.int64)
+        count = np.bincount(spots, minlength=len(self.index))
+        count[: len(self.met)] += self.met
+        self.met = count
+        return self.lattice, spots
 
 
 def _noise(key: np.ndarray, stream: int) -> np.ndarray:
@@ -340,7 +379,7 @@ class _Search:
         stretches: list[str] = []
         count = np.empty(self.n, np.int64)
         for i, t in enumerate(texts):
-            found = _STRETCH.findall(" " + t) if t else []
+            found = _stretches(t)
             stretches += found
             count[i] = len(found)
         self.lat, word = lattices.of(stretches)

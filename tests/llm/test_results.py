@@ -352,6 +352,16 @@ def test_line_joins_are_of_one_kind_at_any_size(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_stretches_are_those_of_the_pattern():
+    """Texts are split without the pattern where that gives the same."""
+    from itertools import product
+
+    for n in range(6):
+        for c in product(" \na\0", repeat=n):
+            text = "".join(c)
+            assert piece_sampler._stretches(text) == (piece_sampler._STRETCH.findall(" " + text) if text else [])
+
+
 def test_url_rules_and_words(spark):
     cases = {
         "http://x.example.com/en/75": ("com/en/", "allow", "example.com/en/7"),
