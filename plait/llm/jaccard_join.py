@@ -51,15 +51,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plait.llm.common import discard, materialize, release, shuffle_parts, slices, table
+from plait.llm.common import discard, materialize, releasing, shuffle_parts, slices, table
 from plait.llm.components import components
 from plait.llm.textvec import U, batches, mix, shingle_sets
 
 #: Shingles and sets of a packed block; shingles of a block of a ring; bytes of text of a hash range.
-_FLUSH, _ROWS = 2_000_000, 16_384
+_FLUSH, _ROWS = 1_000_000, 16_384
 _WEIGHT = 65_536
 _RANGE = 24 << 20
 #: A shingle of so many sets of one block isn't counted, and comes last in the order.
@@ -164,10 +165,8 @@ def _pack(parts: int, k: int):
                         ids, hashes, sets, total, turn = [], [], [], 0, turn + 1
         if sets:
             yield _blocks(ids, hashes, sets, parts, turn, seen)
-        del ids, hashes, sets, seen
-        release()
 
-    return run
+    return releasing(run)
 
 
 def _shared(node: np.ndarray, full: np.ndarray, df: np.ndarray | None) -> pa.Table:
@@ -183,58 +182,70 @@ def _shared(node: np.ndarray, full: np.ndarray, df: np.ndarray | None) -> pa.Tab
     return pa.Table.from_arrays([cols.get(f.name, pa.nulls(len(at), f.type)) for f in _COUNTED], schema=_COUNTED)
 
 
+def _counted(f: np.ndarray, node: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of shingles (f) of sets (node), those of two sets or more and those of
+    hot: shingle, set, number of sets, whether it is hot."""
+    order = np.argsort(f)
+    f, node = f[order], node[order]
+    some = np.zeros(len(f), bool)
+    if len(hot):
+        some = hot[np.minimum(np.searchsorted(hot, f), len(hot) - 1)] == f
+    same = f[1:] == f[:-1]
+    some[1:] |= same
+    some[:-1] |= same
+    f, node = f[some], node[some]
+    order = np.lexsort((node, f))
+    f, node = f[order], node[order]
+    new = np.concatenate([[True], (f[1:] != f[:-1]) | (node[1:] != node[:-1])]) if len(f) else np.zeros(0, bool)  # copies from other blocks go
+    f, node = f[new], node[new]
+    at, count = _runs(f)
+    is_hot = np.zeros(len(at), bool)
+    if len(hot) and len(at):
+        is_hot = hot[np.minimum(np.searchsorted(hot, f[at]), len(hot) - 1)] == f[at]
+    df, is_hot = np.repeat(count, count), np.repeat(is_hot, count)
+    some = (df > 1) | is_hot
+    return f[some], node[some], df[some], is_hot[some]
+
+
 def _count(parts: int):
     """Of one hash range: the documents that came along, and for each set its
     shingles that another set has, with their numbers of sets."""
 
     def run(group: pa.Table) -> pa.Table:
-        entries, nodes, hots, made = [], [], [], []
+        hots, made = [], []
         bucket = group.column("bucket")[0].as_py()
-        col = {c: group.column(c).combine_chunks() for c in group.column_names}
-        for i in range(group.num_rows):
-            if col["entries"][i].is_valid:
-                owner = np.frombuffer(col["owner"][i].as_buffer(), np.uint16)
-                entries.append(_eight(col["entries"][i].as_buffer()))
-                nodes.append(np.frombuffer(col["node"][i].as_buffer(), np.int64)[owner])
-                hots.append(_eight(col["hot"][i].as_buffer()))
-            else:
-                docs = {c: col[c][i].values for c, _ in _DOCS}
-                size = len(docs["n"])
-                cols = {"kind": pa.array(["doc"] * size), **docs}
-                made.append(pa.Table.from_arrays([cols.get(f.name, pa.nulls(size, f.type)) for f in _COUNTED], schema=_COUNTED))
-                node, h = np.frombuffer(col["hot_node"][i].as_buffer(), np.int64), np.frombuffer(col["hot_id"][i].as_buffer(), U)
-                if len(h):
-                    made.append(_shared(node, h, None))
-        if entries:
-            f, node, hot = np.concatenate(entries), np.concatenate(nodes), np.unique(np.concatenate(hots))
-            del entries, nodes, hots
-            order = np.argsort(f)
-            f, node = f[order], node[order]
-            is_hot = np.zeros(len(f), bool)
-            if len(hot):
-                is_hot = hot[np.minimum(np.searchsorted(hot, f), len(hot) - 1)] == f
-            same = f[1:] == f[:-1]
-            some = is_hot.copy()
-            some[1:] |= same
-            some[:-1] |= same
-            f, node = f[some], node[some]
-            order = np.lexsort((node, f))
-            f, node = f[order], node[order]
-            new = np.concatenate([[True], (f[1:] != f[:-1]) | (node[1:] != node[:-1])]) if len(f) else np.zeros(0, bool)  # copies from other blocks go
-            f, node = f[new], node[new]
-            at, count = _runs(f)
-            is_hot = np.zeros(len(at), bool)
-            if len(hot) and len(at):
-                is_hot = hot[np.minimum(np.searchsorted(hot, f[at]), len(hot) - 1)] == f[at]
-            df, is_hot = np.repeat(count, count), np.repeat(is_hot, count)
+        size = pc.sum(pc.binary_length(group.column("entries"))).as_py() or 0
+        f, node, n = np.empty(size // 7, U), np.empty(size // 7, np.int64), 0
+        for batch in group.to_batches():
+            col = {c: batch.column(c) for c in group.column_names}
+            for i in range(batch.num_rows):
+                if col["entries"][i].is_valid:
+                    owner = np.frombuffer(col["owner"][i].as_buffer(), np.uint16)
+                    f[n : n + len(owner)] = _eight(col["entries"][i].as_buffer())
+                    node[n : n + len(owner)] = np.frombuffer(col["node"][i].as_buffer(), np.int64)[owner]
+                    n += len(owner)
+                    hots.append(_eight(col["hot"][i].as_buffer()))
+                else:
+                    docs = {c: col[c][i].values for c, _ in _DOCS}
+                    size = len(docs["n"])
+                    cols = {"kind": pa.array(["doc"] * size), **docs}
+                    made.append(pa.Table.from_arrays([cols.get(c.name, pa.nulls(size, c.type)) for c in _COUNTED], schema=_COUNTED))
+                    hot_node, h = np.frombuffer(col["hot_node"][i].as_buffer(), np.int64), np.frombuffer(col["hot_id"][i].as_buffer(), U)
+                    if len(h):
+                        made.append(_shared(hot_node, h, None))
+        if n:
+            hot = np.unique(np.concatenate(hots))
+            # an eighth of the shingles at a time
+            found = [_counted(f[some], node[some], hot) for some in (np.flatnonzero(f >> U(53) == U(x)) for x in range(8))]
+            del f, node
+            f, node, df, is_hot = (np.concatenate([x[i] for x in found]) for i in range(4))
             name = _named(f, bucket)
             for some in ((df > 1) & ~is_hot, is_hot):
                 if some.any():
                     made.append(_shared(node[some], name[some], None if some is is_hot else df[some]))
-        release()
         return pa.concat_tables(made) if made else _COUNTED.empty_table()
 
-    return run
+    return releasing(run)
 
 
 class _Sets:

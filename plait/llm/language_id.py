@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plait.llm.common import fold, release, slices, table
+from plait.llm.common import fold, releasing, slices, table
 from plait.llm.textvec import U, Words, batches
 
 BITS = 16
@@ -264,18 +264,16 @@ def identify(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
                     langs += x
                     scores += s.tolist()
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
-        release()
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col]
-    return docs.mapInArrow(run, ", ".join([*fields, "lang_pred string, score double"]))
+    return docs.mapInArrow(releasing(run), ", ".join([*fields, "lang_pred string, score double"]))
 
 
 def language_of(model: Crf, spark: SparkSession):
     """A function of a text column: struct(lang_pred, score). Other columns stay in the JVM."""
     sent = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf("lang_pred string, score double")
-    def of(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def predict(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in it:
             langs, scores = [], []
             for i in range(0, len(texts), 512):
@@ -285,7 +283,12 @@ def language_of(model: Crf, spark: SparkSession):
                     langs += x
                     scores += s.tolist()
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
-        release()
+
+    each = releasing(predict)
+
+    @F.arrow_udf("lang_pred string, score double")
+    def of(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from each(it)
 
     return of
 

@@ -352,6 +352,31 @@ def test_line_joins_are_of_one_kind_at_any_size(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_memory_goes_back_when_a_tasks_variables_are_gone(monkeypatch):
+    import weakref
+
+    from plait.llm import common
+
+    class Held:
+        pass
+
+    alive, refs = [], []
+    monkeypatch.setattr(common, "release", lambda: alive.append(refs[-1]() is not None))
+
+    def batches(source):
+        held = Held()
+        refs.append(weakref.ref(held))
+        yield from source
+
+    def group(table):
+        held = Held()
+        refs.append(weakref.ref(held))
+        return table
+
+    assert list(common.releasing(batches)([1, 2])) == [1, 2] and common.releasing(group)(3) == 3
+    assert alive == [False, False]
+
+
 def test_stretches_are_those_of_the_pattern():
     """Texts are split without the pattern where that gives the same."""
     from itertools import product
