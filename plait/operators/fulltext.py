@@ -297,13 +297,21 @@ def parse(text: str) -> Node:
     return node
 
 
+class _Seen(dict):
+    """Stands for the tokens of the columns, and keeps which of them are asked for."""
+
+    def __missing__(self, c: str) -> Column:
+        self[c] = F.expr("cast(array() as array<string>)")
+        return self[c]
+
+
 class Index:
     """Searches over some text columns of a frame. weights: of columns in rank."""
 
     def __init__(self, df: DataFrame, columns: list[str], tokenizer: Tokenizer | None = None, weights: dict[str, float] | None = None):
         self.columns, self.tokenizer = columns, tokenizer or Tokenizer()
         self.weights = weights or {}
-        self.df = df.withColumns({f"__t_{c}": self.tokenizer.tokens(F.col(c)) for c in columns})
+        self.df = df
         self.names = df.columns
 
     def _tree(self, query: str | Node) -> Node:
@@ -317,46 +325,62 @@ class Index:
         out = [c[1:].strip() for c in node.columns if c.startswith("-")]
         return [c for c in self.columns if c not in out] if out else list(node.columns or self.columns)
 
-    def _starts(self, node: Node, c: str) -> Column:
-        """Positions in column c where the phrase begins."""
-        want, t = self._phrase(node), F.col(f"__t_{c}")
+    def _let(self, body: Callable[[dict[str, Column]], Column], test: bool = False) -> Column:
+        """body over the tokens by column. They are bound to a variable: as a
+        column they would be put in wherever they are named, in lambdas too, and
+        a text would be parted again for each of its words. test: body is a truth value."""
+        seen = _Seen()
+        got = body(seen)
+        if not seen:
+            return got
+        bound = F.array(F.struct(*[self.tokenizer.tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(seen)]))
+        inner = lambda s: body({c: s[f"t{i}"] for i, c in enumerate(seen)})
+        return F.exists(bound, inner) if test else F.get(F.transform(bound, inner), F.lit(0))
+
+    def _here(self, node: Node, t: Column, i: Column) -> Column:
+        """Whether the phrase begins at position i of the tokens t."""
+        want = self._phrase(node)
+        tests = [F.get(t, i + k) == w for k, w in enumerate(want)]
+        if node.prefix:
+            tests[-1] = F.startswith(F.get(t, i + len(want) - 1), F.lit(want[-1]))
+        return F.coalesce(reduce(and_, tests), F.lit(False))
+
+    def _starts(self, node: Node, t: Column) -> Column:
+        """Positions in the tokens t where the phrase begins."""
+        want, none = self._phrase(node), F.expr("cast(array() as array<int>)")
         if not want:
-            return F.expr("cast(array() as array<int>)")
-
-        def here(i: Column) -> Column:
-            tests = [F.get(t, i + k) == w for k, w in enumerate(want)]
-            if node.prefix:
-                tests[-1] = F.startswith(F.get(t, i + len(want) - 1), F.lit(want[-1]))
-            return F.coalesce(reduce(and_, tests), F.lit(False))
-
-        spots = F.transform(t, lambda _, i: F.when(here(i), i))
+            return none
+        if node.start:
+            return F.when(self._here(node, t, F.lit(0)), F.array(F.lit(0))).otherwise(none)
+        spots = F.transform(t, lambda _, i: F.when(self._here(node, t, i), i))
         # the first word rules out most texts before any position is tried
         first = F.exists(t, lambda x: F.startswith(x, F.lit(want[0])) if node.prefix and len(want) == 1 else x == want[0])
-        here_ = lambda i: i == 0 if node.start else i.isNotNull()
-        return F.when(first, F.filter(spots, here_)).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.when(first, F.filter(spots, lambda i: i.isNotNull())).otherwise(none)
 
-    def _holds(self, node: Node) -> Column:
+    def _holds(self, node: Node, t: dict[str, Column]) -> Column:
         cols = self._in(node)
         if node.kind == "phrase":
             want = self._phrase(node)
-            if len(want) == 1 and not node.start:
+            if want and node.start:
+                return reduce(or_, [self._here(node, t[c], F.lit(0)) for c in cols], F.lit(False))
+            if len(want) == 1:
                 test = (lambda x: F.startswith(x, F.lit(want[0]))) if node.prefix else (lambda x: x == want[0])
-                return reduce(or_, [F.exists(f"__t_{c}", test) for c in cols], F.lit(False))
-            return reduce(or_, [F.size(self._starts(node, c)) > 0 for c in cols], F.lit(False))
+                return reduce(or_, [F.exists(t[c], test) for c in cols], F.lit(False))
+            return reduce(or_, [F.size(self._starts(node, t[c])) > 0 for c in cols], F.lit(False))
         if node.kind == "near":
-            return reduce(or_, [self._near(node, c) for c in cols])
+            return reduce(or_, [self._near(node, t[c]) for c in cols])
         if node.kind == "and":
-            return reduce(and_, [self._holds(p) for p in node.parts])
+            return reduce(and_, [self._holds(p, t) for p in node.parts])
         if node.kind == "or":
-            return reduce(or_, [self._holds(p) for p in node.parts])
+            return reduce(or_, [self._holds(p, t) for p in node.parts])
         if node.kind == "not":
-            return self._holds(node.parts[0]) & ~self._holds(node.parts[1])
+            return self._holds(node.parts[0], t) & ~self._holds(node.parts[1], t)
         raise ValueError("NOT needs something before it")
 
-    def _near(self, node: Node, c: str) -> Column:
+    def _near(self, node: Node, t: Column) -> Column:
         """One place of each phrase, all within distance words between the end
         of the first and the start of the last."""
-        spots = [self._starts(p, c) for p in node.parts]
+        spots = [self._starts(p, t) for p in node.parts]
         sizes = [len(self._phrase(p)) for p in node.parts]
 
         def span(i: int, lo: Column, hi: Column) -> Column:
@@ -367,8 +391,11 @@ class Index:
 
         return F.exists(spots[0], lambda p: span(1, p, p + sizes[0]))
 
+    def _matches(self, query: str | Node) -> Column:
+        return self._let(lambda t: self._holds(self._tree(query), t), test=True)
+
     def match(self, query: str | Node) -> DataFrame:
-        return self.df.filter(self._holds(self._tree(query))).select(*self.names)
+        return self.df.filter(self._matches(query))
 
     def _phrases(self, node: Node) -> list[Node]:
         if node.kind == "phrase":
@@ -380,12 +407,17 @@ class Index:
         """Matches with bm25 (k1 1.2, b 0.75), negated: less is better."""
         tree = self._tree(query)
         phrases = self._phrases(tree)
-        length = reduce(lambda a, b: a + b, [F.size(f"__t_{c}") for c in self.columns])
-        hits = [sum((F.size(self._starts(p, c)) * F.lit(self.weights.get(c, 1.0)) for c in self._in(p)), F.lit(0.0)) for p in phrases]
-        counted = self.df.withColumns({"__len": length, "__hit": self._holds(tree), **{f"__f{i}": h for i, h in enumerate(hits)}})
-        stats = counted.agg(F.count(F.lit(1)).alias("__n"), F.avg("__len").alias("__avg"), *[F.count(F.when(F.col(f"__f{i}") > 0, 1)).alias(f"__d{i}") for i in range(len(hits))])
+
+        def counts(t: dict[str, Column]) -> Column:
+            length = reduce(lambda a, b: a + b, [F.size(t[c]) for c in self.columns])
+            hits = [sum((F.size(self._starts(p, t[c])) * F.lit(self.weights.get(c, 1.0)) for c in self._in(p)), F.lit(0.0)) for p in phrases]
+            return F.struct(length.alias("__len"), self._holds(tree, t).alias("__hit"), *[h.alias(f"__f{i}") for i, h in enumerate(hits)])
+
+        counted = self.df.withColumn("__s", self._let(counts)).select(*self.names, "__s.*")
+        hits = range(len(phrases))
+        stats = counted.agg(F.count(F.lit(1)).alias("__n"), F.avg("__len").alias("__avg"), *[F.count(F.when(F.col(f"__f{i}") > 0, 1)).alias(f"__d{i}") for i in hits])
         score = F.lit(0.0)
-        for i in range(len(hits)):
+        for i in hits:
             f, d = F.col(f"__f{i}"), F.col(f"__d{i}")
             idf = F.greatest(F.ln((F.col("__n") - d + 0.5) / (d + 0.5)), F.lit(1e-6))
             score = score + idf * (f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * F.col("__len") / F.col("__avg"))))
@@ -393,12 +425,14 @@ class Index:
 
     def _marks(self, query: str | Node, c: str) -> Column:
         """Positions of tokens of c that lie in a phrase of the query."""
-        out = [self._spread(p, c) for p in self._phrases(self._tree(query)) if c in self._in(p)]
-        return F.array_distinct(F.concat(*out)) if out else F.expr("cast(array() as array<int>)")
+        phrases = [p for p in self._phrases(self._tree(query)) if c in self._in(p)]
+        if not phrases:
+            return F.expr("cast(array() as array<int>)")
+        return self._let(lambda t: F.array_distinct(F.concat(*[self._spread(p, t[c]) for p in phrases])))
 
-    def _spread(self, p: Node, c: str) -> Column:
+    def _spread(self, p: Node, t: Column) -> Column:
         last = len(self._phrase(p)) - 1
-        return F.flatten(F.transform(self._starts(p, c), lambda i: F.sequence(i, i + last)))
+        return F.flatten(F.transform(self._starts(p, t), lambda i: F.sequence(i, i + last)))
 
     def highlight(self, query: str | Node, c: str, open_: str, close: str, name: str = "highlight") -> DataFrame:
         """Matches with column c's text, each run of matched words between the marks."""
@@ -415,8 +449,9 @@ class Index:
         def run(texts: pd.Series, marks: pd.Series) -> pd.Series:
             return pd.Series([None if t is None else fn(t, {int(x) for x in m}) for t, m in zip(texts, marks, strict=True)])
 
-        hit = self.df.filter(self._holds(self._tree(query)))
-        return hit.select(*self.names, run(F.col(c), self._marks(query, c)).alias(name))
+        # named twice, so the positions stay a column: as an argument of the function, a phrase's lambdas aren't evaluated by Spark 4.1
+        hit = self.df.filter(self._matches(query)).withColumn("__m", self._marks(query, c))
+        return hit.select(*self.names, F.when(F.size("__m") >= 0, run(F.col(c), F.col("__m"))).alias(name))
 
 
 def _places(text: str, tokenizer: Tokenizer) -> list[tuple[int, int]]:
