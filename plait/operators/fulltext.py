@@ -51,9 +51,9 @@ class Tokenizer:
         if self.custom:
             return self.custom(text)
         if self.kind == "trigram":
-            low = F.lower(text)
-            n = F.length(low)
-            return F.when(n >= 3, F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))).otherwise(F.expr("cast(array() as array<string>)"))
+            # one pass over the characters: a substring by position would start from the text's first one
+            runs = lambda t: F.slice(F.transform(t, lambda x, i: F.concat(x, F.get(t, i + 1), F.get(t, i + 2))), F.lit(1), F.greatest(F.size(t) - 2, F.lit(0)))
+            return F.flatten(F.transform(F.array(F.split(F.lower(text), "")), runs))
         extra = "".join(re.escape(c) for c in self.token_chars)
         if self.kind == "ascii":
             low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -361,6 +361,10 @@ class Index:
         cols = self._in(node)
         if node.kind == "phrase":
             want = self._phrase(node)
+            if self.tokenizer.kind == "trigram" and len(node.tokens) == 1 and len(node.tokens[0].lower()) >= 3 and not self.tokenizer.custom:
+                # the runs of a phrase follow one another just where its text stands
+                test = F.startswith if node.start else F.contains
+                return reduce(or_, [test(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(node.tokens[0].lower())) for c in cols], F.lit(False))
             if want and node.start:
                 return reduce(or_, [self._here(node, t[c], F.lit(0)) for c in cols], F.lit(False))
             if len(want) == 1:

@@ -2,7 +2,9 @@
 
 import time
 
-from plait.operators.fulltext import Index
+from pyspark.sql import functions as F
+
+from plait.operators.fulltext import Index, Phrase, Tokenizer
 
 
 def test_a_text_is_parted_once(spark):
@@ -12,3 +14,19 @@ def test_a_text_is_parted_once(spark):
     for query, want in (("^the", [1]), ('"last word"', [1]), ("word + the", [1]), ("^a AND last", [2]), ("last NOT ^the", [2])):
         assert sorted(r.id for r in Index(df, ["t"]).match(query).collect()) == want, query
     assert time.time() - began < 30
+
+
+def test_trigrams_of_long_texts(spark):
+    """100,000 characters: with a substring by position for each run, this takes minutes."""
+    tri = Tokenizer("trigram")
+    df = spark.createDataFrame([(1, "x" * 100_000 + "Idiot é€😀z"), (2, "ab"), (3, None), (4, "diodio")], "id int, t string")
+    began = time.time()
+    hits = lambda q: sorted(r.id for r in Index(df, ["t"], tri).match(q).collect())
+    assert hits("dio") == [1, 4] and hits("DIOT") == [1] and hits("^dio") == [4] and hits("NOTHERE") == [] and hits("dio NOT idiot") == [4]
+    assert hits(Phrase("é€😀")) == [1] and hits("di") == [] and hits("NEAR(dio iot, 3)") == [1]
+    got = {r.id: r.x for r in df.select("id", tri.tokens(F.col("t")).alias("x")).collect()}
+    for r in df.collect():
+        low = (r.t or "").lower()
+        assert got[r.id] == [low[i : i + 3] for i in range(len(low) - 2)]
+    assert [r["rank"] < 0 for r in Index(df, ["t"], tri).ranked("diod").collect()] == [True]
+    assert time.time() - began < 60
