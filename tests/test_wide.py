@@ -5,6 +5,7 @@ from itertools import product
 from pyspark.sql import functions as F
 
 from plait.operators import spatial, wide
+from plait.plans.query import Query
 
 
 def _boxes(spark, n, mark, spread):
@@ -33,3 +34,19 @@ def test_tasks_follow_from_the_pairs(spark):
     got = spatial.overlap_join(a, b, DIMS, DIMS2, [4.0, 4.0])
     assert got.rdd.getNumPartitions() >= 30
     assert got.count() == 12_000**2
+
+
+def test_a_join_of_many_by_many(spark, monkeypatch):
+    rows = [(i, None if i % 3 == 0 else "abc"[i % 3], None if i % 11 == 0 else i % 4) for i in range(90)]
+    a = Query(spark.createDataFrame(rows, "x int, s string, n int"))
+    b = a.select(y="x", s2="s", n2="n")
+    want = sorted((p[0], q[0]) for p in rows for q in rows if p[1] == q[1] and p[2] is not None and p[2] == q[2])
+    for block, plain in ((2_048, wide.PLAIN), (2_048, 0), (4, 0)):
+        monkeypatch.setattr(wide, "BLOCK", block)
+        monkeypatch.setattr(wide, "PLAIN", plain)
+        got = a.join(b, [("s", "s2"), ("n", "n2")], nullable=("s",), many=True).select("x", "y")
+        assert sorted(map(tuple, got.to_list())) == want, (block, plain)
+    monkeypatch.undo()
+    big = Query(spark.range(10_000).select(F.col("id").alias("x"), (F.col("id") % 1).alias("n")))
+    got = big.join(big.select(y="x", n2="n"), [("n", "n2")], many=True)
+    assert got.df.rdd.getNumPartitions() >= 20 and got.df.count() == 10_000**2
