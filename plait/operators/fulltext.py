@@ -384,16 +384,23 @@ class Index:
     def _near(self, node: Node, t: Column) -> Column:
         """One place of each phrase, all within distance words between the end
         of the first and the start of the last."""
-        spots = [self._starts(p, t) for p in node.parts]
         sizes = [len(self._phrase(p)) for p in node.parts]
 
-        def span(i: int, lo: Column, hi: Column) -> Column:
-            """lo, hi: least start and greatest end of the phrases chosen so far."""
-            if i == len(spots):
-                return hi - lo - sum(sizes) <= node.distance
-            return F.exists(spots[i], lambda p: span(i + 1, F.least(lo, p), F.greatest(hi, p + sizes[i])))
+        def place(k: int) -> Callable[[Column], Column]:
+            return lambda i: F.struct((i + sizes[k]).alias("end"), F.lit(k).alias("k"), i.alias("start"))
 
-        return F.exists(spots[0], lambda p: span(1, p, p + sizes[0]))
+        places = [F.transform(self._starts(p, t), place(k)) for k, p in enumerate(node.parts)]
+        last = [f"l{k}" for k in range(len(sizes))]
+
+        def step(acc: Column, x: Column) -> Column:
+            """The last place of each phrase up to this end; no others lie closer together."""
+            now = [F.when(x["k"] == k, x["start"]).otherwise(acc[n]) for k, n in enumerate(last)]
+            lo = F.least(*now) if len(now) > 1 else now[0]
+            found = acc["found"] | ((lo >= 0) & (x["end"] - lo - sum(sizes) <= node.distance))
+            return F.struct(found.alias("found"), *[c.alias(n) for c, n in zip(now, last, strict=True)])
+
+        none = F.struct(F.lit(False).alias("found"), *[F.lit(-1).alias(n) for n in last])
+        return F.aggregate(F.array_sort(F.concat(*places)), none, step, lambda acc: acc["found"])
 
     def _matches(self, query: str | Node) -> Column:
         return self._let(lambda t: self._holds(self._tree(query), t), test=True)

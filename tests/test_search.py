@@ -1,10 +1,12 @@
 """Full-text search over long texts."""
 
+import random
 import time
+from itertools import product
 
 from pyspark.sql import functions as F
 
-from plait.operators.fulltext import Index, Phrase, Tokenizer
+from plait.operators.fulltext import Index, Near, Phrase, Tokenizer
 
 
 def test_a_text_is_parted_once(spark):
@@ -30,3 +32,27 @@ def test_trigrams_of_long_texts(spark):
         assert got[r.id] == [low[i : i + 3] for i in range(len(low) - 2)]
     assert [r["rank"] < 0 for r in Index(df, ["t"], tri).ranked("diod").collect()] == [True]
     assert time.time() - began < 60
+
+
+def test_near_tries_no_products(spark):
+    """4,000 places of each of three words, far apart: 64 thousand million choices."""
+    far = " ".join(w for x in "abc" for w in [x] * 4_000 + ["z"] * 30)
+    df = spark.createDataFrame([(1, far), (2, far + " a z b c")], "id int, t string")
+    began = time.time()
+    assert [r.id for r in Index(df, ["t"]).match(Near(3, "a", "b", "c")).collect()] == [2]
+    assert time.time() - began < 30
+
+
+def test_near_is_any_choice_of_places(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcdz", k=rng.randint(0, 14))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for n, phrases in ((2, ["a", "b"]), (1, ["a b", "c"]), (3, ["a", "b", "c d"]), (0, ["a", "a"]), (4, ["d"])):
+        want = []
+        for i, text in enumerate(texts):
+            ws = text.split()
+            spots = [[j for j in range(len(ws)) if ws[j : j + len(p.split())] == p.split()] for p in phrases]
+            size = [len(p.split()) for p in phrases]
+            if any(max(s + k for s, k in zip(c, size, strict=True)) - min(c) - sum(size) <= n for c in product(*spots)):
+                want.append(i)
+        assert sorted(r.id for r in Index(df, ["t"]).match(Near(n, *phrases)).collect()) == want, phrases
