@@ -15,6 +15,8 @@ from functools import reduce
 from operator import and_, or_
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +48,9 @@ class Tokenizer:
     separators: str = ""
     custom: Callable[[Column], Column] | None = None
 
-    def tokens(self, text: Column) -> Column:
+    def tokens(self, text: Column, letters: str | None = None) -> Column:
+        """letters: first letters of all words that are sought, if known; a stem
+        keeps its word's, so other words need not be stemmed and come as ''."""
         text = F.coalesce(text, F.lit(""))
         if self.custom:
             return self.custom(text)
@@ -66,7 +70,9 @@ class Tokenizer:
         if self.separators:
             low = F.translate(low, self.separators, " " * len(self.separators))
         got = F.filter(F.split(low, part), lambda x: x != "")
-        return stem(got) if self.kind == "porter" else got
+        if self.kind != "porter":
+            return got
+        return stem(got if letters is None else F.transform(got, lambda x: F.when(F.substring(x, 1, 1).isin(*letters), x).otherwise("")))
 
     def one(self, text: str) -> list[str]:
         """Tokens of a query's words, on the driver (same rules)."""
@@ -144,13 +150,18 @@ def porter(w: str) -> str:
 
 
 def stem(tokens: Column) -> Column:
-    @F.pandas_udf("array<string>")
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, str] = {}
         for rows in it:
-            if len(known) > 200_000:
+            if len(known) > 50_000:
                 known.clear()
-            yield rows.map(lambda ws: None if ws is None else [known.get(x) or known.setdefault(x, porter(x)) for x in ws])
+            # each word of a batch once; the texts stay Arrow's
+            words = rows.flatten().dictionary_encode()
+            stems = pa.array([None if x is None else known.get(x) or known.setdefault(x, porter(x)) for x in words.dictionary.to_pylist()], pa.string())
+            ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(rows), 0))
+            offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
+            yield pa.ListArray.from_arrays(offsets, stems.take(words.indices), mask=rows.is_null())
 
     return run(tokens)
 
@@ -320,12 +331,15 @@ class Index:
     def _phrase(self, node: Node) -> list[str]:
         return [t for x in node.tokens for t in self.tokenizer.one(x)]
 
+    def _words(self, node: Node) -> list[str]:
+        return [w for p in node.parts for w in self._words(p)] + (self._phrase(node) if node.kind == "phrase" else [])
+
     def _in(self, node: Node) -> list[str]:
         """The columns that a node looks at."""
         out = [c[1:].strip() for c in node.columns if c.startswith("-")]
         return [c for c in self.columns if c not in out] if out else list(node.columns or self.columns)
 
-    def _let(self, body: Callable[[dict[str, Column]], Column], test: bool = False) -> Column:
+    def _let(self, tree: Node, body: Callable[[dict[str, Column]], Column], test: bool = False) -> Column:
         """body over the tokens by column. They are bound to a variable: as a
         column they would be put in wherever they are named, in lambdas too, and
         a text would be parted again for each of its words. test: body is a truth value."""
@@ -333,7 +347,8 @@ class Index:
         got = body(seen)
         if not seen:
             return got
-        bound = F.array(F.struct(*[self.tokenizer.tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(seen)]))
+        letters = "".join(sorted({w[:1] for w in self._words(tree)}))
+        bound = F.array(F.struct(*[self.tokenizer.tokens(F.col(c), letters or None).alias(f"t{i}") for i, c in enumerate(seen)]))
         inner = lambda s: body({c: s[f"t{i}"] for i, c in enumerate(seen)})
         return F.exists(bound, inner) if test else F.get(F.transform(bound, inner), F.lit(0))
 
@@ -403,7 +418,8 @@ class Index:
         return F.aggregate(F.array_sort(F.concat(*places)), none, step, lambda acc: acc["found"])
 
     def _matches(self, query: str | Node) -> Column:
-        return self._let(lambda t: self._holds(self._tree(query), t), test=True)
+        tree = self._tree(query)
+        return self._let(tree, lambda t: self._holds(tree, t), test=True)
 
     def match(self, query: str | Node) -> DataFrame:
         return self.df.filter(self._matches(query))
@@ -424,7 +440,7 @@ class Index:
             hits = [sum((F.size(self._starts(p, t[c])) * F.lit(self.weights.get(c, 1.0)) for c in self._in(p)), F.lit(0.0)) for p in phrases]
             return F.struct(length.alias("__len"), self._holds(tree, t).alias("__hit"), *[h.alias(f"__f{i}") for i, h in enumerate(hits)])
 
-        counted = self.df.withColumn("__s", self._let(counts)).select(*self.names, "__s.*")
+        counted = self.df.withColumn("__s", self._let(tree, counts)).select(*self.names, "__s.*")
         hits = range(len(phrases))
         stats = counted.agg(F.count(F.lit(1)).alias("__n"), F.avg("__len").alias("__avg"), *[F.count(F.when(F.col(f"__f{i}") > 0, 1)).alias(f"__d{i}") for i in hits])
         score = F.lit(0.0)
@@ -439,7 +455,7 @@ class Index:
         phrases = [p for p in self._phrases(self._tree(query)) if c in self._in(p)]
         if not phrases:
             return F.expr("cast(array() as array<int>)")
-        return self._let(lambda t: F.array_distinct(F.concat(*[self._spread(p, t[c]) for p in phrases])))
+        return self._let(self._tree(query), lambda t: F.array_distinct(F.concat(*[self._spread(p, t[c]) for p in phrases])))
 
     def _spread(self, p: Node, t: Column) -> Column:
         last = len(self._phrase(p)) - 1

@@ -6,7 +6,7 @@ from itertools import product
 
 from pyspark.sql import functions as F
 
-from plait.operators.fulltext import Index, Near, Phrase, Tokenizer
+from plait.operators.fulltext import Index, Near, Phrase, Tokenizer, porter, stem
 
 
 def test_a_text_is_parted_once(spark):
@@ -56,3 +56,21 @@ def test_near_is_any_choice_of_places(spark):
             if any(max(s + k for s, k in zip(c, size, strict=True)) - min(c) - sum(size) <= n for c in product(*spots)):
                 want.append(i)
         assert sorted(r.id for r in Index(df, ["t"]).match(Near(n, *phrases)).collect()) == want, phrases
+
+
+def test_stems_stay_arrow(spark):
+    """Batches of words reach Python as Arrow, each word once, and those of other letters not at all."""
+    import inspect
+
+    assert "pd.Series" not in inspect.getsource(stem)
+    texts = ["licensed Licenses the hopping ponies", None, "", "s is a café relational license", "conditional rational flies"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    tok = Tokenizer("porter")
+    plain = {r.id: r.x for r in df.select("id", Tokenizer().tokens(F.col("t")).alias("x")).collect()}
+    got = {r.id: r.x for r in df.select("id", tok.tokens(F.col("t")).alias("x")).collect()}
+    assert got == {i: [porter(w) for w in ws] for i, ws in plain.items()} and porter("licensing") in got[0]
+    hits = lambda q: sorted(r.id for r in Index(df, ["t"], tok).match(q).collect())
+    assert hits("licensing") == [0, 3] and hits("licensing NOT relations") == [0] and hits('"the hopped"') == [0] and hits("^conditions") == [4] and hits("rel*") == [3]
+    assert all(porter(w)[0] == w[0] for ws in plain.values() for w in ws)
+    null = spark.createDataFrame([(None,), (["flies", None],), ([],)], "x array<string>").select(stem(F.col("x")).alias("y")).collect()
+    assert [r.y for r in null] == [None, ["fli", None], []]
